@@ -3,7 +3,7 @@
 Each rule looks at counts of the whole text and votes good, bad, or abstains. Expectation
 maximisation over the votes of all documents estimates how often each rule votes what on good and
 on bad documents, and each document's posterior probability of being good decides, together with
-the two base tests. Votes form at most 3^9 patterns, so EM needs only the number of documents of
+the two base tests. Votes form at most 3^9 patterns (nine rules), so EM needs only the number of documents of
 each pattern: an aggregate over all rows, bounded at any input size.
 
 Null and empty texts have no words and fail the base test. Rules abstain where their ratio has no
@@ -14,6 +14,7 @@ denominator. Repeated rows are repeated; an empty table gives an empty result. O
 from __future__ import annotations
 
 import math
+import string
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from seqloom.llm import common
 
 GOOD, BAD, ABSTAIN = 1, -1, 0
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_shouts", "top_word"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_shouts", "top_word", "n_punct"]
 #: name: (numerator, denominator, [from, to) of a good vote, [from, to) outside of which the vote is bad)
 RULES = {
     "length": ("n_words", None, (50, 100_000), (30, 1_000_000)),
@@ -34,6 +35,7 @@ RULES = {
     "repeats": ("n_repeat_words", "n_words", (0, 0.2), (0, 0.4)),
     "upper_case": ("n_upper", "n_letters", (0, 0.2), (0, 0.4)),
     "shouts": ("n_shouts", "n_words", (0, 0.1), (0, 0.3)),
+    "punctuation": ("n_punct", "word_chars", (0, 0.1), (0, 0.2)),
     "top_word": ("top_word", "n_words", (0, 0.2), (0, 0.35)),
 }
 UPPER = "".join(map(chr, [*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF)]))
@@ -78,6 +80,7 @@ def counts_of(text: str | None) -> tuple[int, ...]:
         n_upper + n_lower,
         text.count("!"),
         top,
+        sum(map(text.count, string.punctuation)),
     )
 
 
