@@ -1,0 +1 @@
+"""Scalar functions on words, as column expressions and as SQL functions."""

@@ -1,0 +1 @@
+"""Batched positional queries."""

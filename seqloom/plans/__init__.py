@@ -1,0 +1 @@
+"""Physical plans that several operators share."""

@@ -1,0 +1 @@
+"""Sequences that grow as streams."""
