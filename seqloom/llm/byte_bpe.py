@@ -17,7 +17,7 @@ import public_tokenizers
 import regex
 
 #: Entries that a word cache holds before it stops growing: bounds a worker's memory.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 
 _ADJACENT = re.compile(r"\s\s")
 _BEYOND = re.compile("[^\x00-\u024f\u2010-\u2027]")
@@ -109,6 +109,7 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int], pair_limit: int = 400_000, prefix_limit: int = 600_000):
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
+        self.sizes = {v: len(k) for k, v in ranks.items()}
         self.good = {k: v for k, v in ranks.items() if self.merge(k) == [v]}  # tokens that yield themselves
         self.longest = max(map(len, ranks), default=1)
         self.pairs: dict[int, bool] = {}
@@ -117,17 +118,18 @@ class PrefixEncoder:
 
     def merge(self, piece: bytes) -> list[int]:
         """The merges carried out one by one, lowest rank first: the definition, used for short pieces."""
-        parts, ranks = [piece[i : i + 1] for i in range(len(piece))], self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
+        get, none = self.ranks.get, len(self.ranks) + (1 << 30)
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (best := min(pairs)) != none:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = get(parts[at] + parts[at + 1], none)
+        return [self.ranks[p] for p in parts]
 
     def is_pair(self, a: int, b: int) -> bool:
         key = a << 32 | b
@@ -138,6 +140,10 @@ class PrefixEncoder:
                 self.pairs[key] = ok
         return ok
 
+    def fits(self, a: int, b: int) -> bool:
+        ok = self.pairs.get(a << 32 | b)
+        return self.is_pair(a, b) if ok is None else ok
+
     def extend(self, piece: bytes, last: list[int], start: int, stop: int | None = None) -> None:
         """Fill ``last`` (the last token of each prefix, by its length less one) for prefixes over ``start`` bytes."""
         get, longest, pairs = self.good.get, self.longest, self.pairs
@@ -202,34 +208,36 @@ class PrefixEncoder:
         n = len(piece)
         if n > 64:
             return self.walk(self.table(piece))
-        known, get, pairs, at = self.prefixes, self.good.get, self.pairs, n
-        while at and piece[:at] not in known:
-            at -= 1
+        known, get, pairs, sizes, at = self.prefixes, self.good.get, self.pairs, self.sizes, n
         if len(known) >= self.prefix_limit:
             known.clear()
-            at = 0
-        begin = 0  # where the last token of the prefix before starts: the next one often starts there too
-        if at:
-            begin = at - len(self.tokens[known[piece[:at]]])
+        while at and piece[:at] not in known:
+            at -= 1
+        last = [known[piece[:i]] for i in range(1, at + 1)]
+        begin = at - sizes[last[-1]] if at else 0  # where the token before starts: the next one often starts there too
         for end in range(at + 1, n + 1):
-            for begin in (begin, *range(end - 1, -1, -1)):
-                token = get(piece[begin:end])
-                if token is None:
-                    continue
-                if begin:
-                    before = known[piece[:begin]]
-                    ok = pairs.get(before << 32 | token)
-                    if not (self.is_pair(before, token) if ok is None else ok):
+            token = get(piece[begin:end])
+            if token is None or (begin and not self.fits(last[begin - 1], token)):
+                for begin in range(end - 1, -1, -1):
+                    token = get(piece[begin:end])
+                    if token is None:
                         continue
-                known[piece[:end]] = token
-                break
-            else:
-                raise ValueError(f"no token ends at byte {end} of {piece!r}")
+                    if not begin:
+                        break
+                    ok = pairs.get(last[begin - 1] << 32 | token)
+                    if self.is_pair(last[begin - 1], token) if ok is None else ok:
+                        break
+                else:
+                    raise ValueError(f"no token ends at byte {end} of {piece!r}")
+                if token is None:
+                    raise ValueError(f"no token ends at byte {end} of {piece!r}")
+            last.append(token)
+            known[piece[:end]] = token
         out = []
         while n:
-            token = known[piece[:n]]
+            token = last[n - 1]
             out.append(token)
-            n -= len(self.tokens[token])
+            n -= sizes[token]
         return out[::-1]
 
     def encode_text(self, text: str) -> list[int]:
