@@ -315,10 +315,13 @@ def _(spark, d):
     return s.occs_range_batch(_parts_of(spark, d, s.meta, l="p * 3 % 2000", r="n - p % 1500"))
 
 
-@query("occs_range_naive", OCCS_SQL.replace("FROM part)", "FROM part WHERE p_partkey % 10 = 0)"))
+NAIVE_OPERANDS = {"l": "p * 3 % 2000", "r": "n - p % 1500"}
+
+
+@query("occs_range_naive", f"WITH {PR}, {M}, {_q(**NAIVE_OPERANDS)} SELECT q.qid, s.sym, count(*) AS cnt FROM q JOIN s ON s.pos >= q.l AND s.pos < q.r WHERE q.l <= q.r AND q.r <= (SELECT n FROM m) GROUP BY 1, 2")
 def _(spark, d):
-    s = ev_user(spark, d)
-    return ranges.occs_range_naive(s.df, _parts_of(spark, d, s.meta, **RANGE_OPERANDS).filter("qid % 10 = 0"), s.meta)
+    s = ord_prio(spark, d)
+    return ranges.occs_range_naive(s.df, _parts_of(spark, d, s.meta, **NAIVE_OPERANDS), s.meta)
 
 
 @query("range_status", f"WITH {EV}, {M}, {_q(**RANGE_OPERANDS)} SELECT qid, l, r, l <= r AND r <= n AS ok FROM q, m")
@@ -393,49 +396,42 @@ def _(spark, d):
 # Changes
 
 
-def _small_bits(spark, d) -> BitSequence:
-    return BitSequence.from_bits(builders.bits(_table(spark, d, "events").filter("event_id < 500"), "event_id", F.col("event_type") == "error"))
-
-
-SB = "b AS (SELECT event_id AS pos, event_type = 'error' AS bit FROM events WHERE event_id < 500)"
-
-
-@query("set_bit", f"WITH {SB} SELECT pos, CASE WHEN pos % 7 = 3 THEN pos % 2 = 1 ELSE bit END AS bit FROM b")
+@query("set_bit", f"WITH {ER} SELECT pos, CASE WHEN pos % 7 = 3 THEN pos % 2 = 1 ELSE bit END AS bit FROM b")
 def _(spark, d):
-    b = _small_bits(spark, d)
+    b = ev_err(spark, d)
     updates = b.sizes.select("seq_id", F.explode(F.expr("sequence(3L, n_bits - 1, 7L)")).alias("pos")).withColumn("bit", F.col("pos") % 2 == 1)
     return b.set(updates).dense().select("pos", "bit")
 
 
-@query("set_bits", f"WITH {SB} SELECT pos, CASE WHEN pos >= 61 AND pos < 67 THEN (42 >> (pos - 61)) & 1 = 1 ELSE bit END AS bit FROM b")
+@query("set_bits", f"WITH {ER} SELECT pos, CASE WHEN pos >= 61 AND pos < 67 THEN (42 >> (pos - 61)) & 1 = 1 ELSE bit END AS bit FROM b")
 def _(spark, d):
-    return _small_bits(spark, d).set_bits(61, 6, 42).dense().select("pos", "bit")
+    return ev_err(spark, d).set_bits(61, 6, 42).dense().select("pos", "bit")
 
 
-@query("append_bits", f"WITH {SB} SELECT pos, bit FROM b UNION ALL SELECT 500 + j, (42 >> j) & 1 = 1 FROM (SELECT CAST(unnest(range(9)) AS BIGINT) AS j)")
+@query("append_bits", f"WITH {ER}, {NB} SELECT pos, bit FROM b UNION ALL SELECT n + j, (42 >> j) & 1 = 1 FROM m, (SELECT CAST(unnest(range(9)) AS BIGINT) AS j)")
 def _(spark, d):
-    return _small_bits(spark, d).append_bits(42, 9).dense().select("pos", "bit")
+    return ev_err(spark, d).append_bits(42, 9).dense().select("pos", "bit")
 
 
-@query("push_bit", f"WITH {SB} SELECT pos, bit FROM b UNION ALL SELECT 500, true")
+@query("push_bit", f"WITH {ER}, {NB} SELECT pos, bit FROM b UNION ALL SELECT n, true FROM m")
 def _(spark, d):
-    return _small_bits(spark, d).push(True).dense().select("pos", "bit")
+    return ev_err(spark, d).push(True).dense().select("pos", "bit")
 
 
-@query("extend_zeros", f"WITH {SB} SELECT pos, bit FROM b UNION ALL SELECT 500 + j, false FROM (SELECT CAST(unnest(range(33)) AS BIGINT) AS j)")
+@query("extend_zeros", f"WITH {ER}, {NB} SELECT pos, bit FROM b UNION ALL SELECT n + j, false FROM m, (SELECT CAST(unnest(range(33)) AS BIGINT) AS j)")
 def _(spark, d):
-    return _small_bits(spark, d).extend_zeros(33).dense().select("pos", "bit")
+    return ev_err(spark, d).extend_zeros(33).dense().select("pos", "bit")
 
 
-@query("extend_bits", f"WITH {SB} SELECT pos, bit FROM b UNION ALL SELECT 500 + pos, bit FROM b")
+@query("extend_bits", f"WITH {ER}, {NB} SELECT pos, bit FROM b UNION ALL SELECT n + pos, bit FROM b, m")
 def _(spark, d):
-    b = _small_bits(spark, d)
+    b = ev_err(spark, d)
     return b.extend(b).dense().select("pos", "bit")
 
 
-@query("extend_positions", f"WITH {SB} SELECT pos FROM b WHERE bit UNION SELECT p_partkey * 5 FROM part WHERE p_partkey < 150")
+@query("extend_positions", f"WITH {ER} SELECT pos FROM b WHERE bit UNION SELECT p_partkey * 5 FROM part")
 def _(spark, d):
-    return _small_bits(spark, d).extend_positions(_parts(spark, d, pos="p * 5").filter("qid < 150").select("seq_id", "pos")).ones().select("pos")
+    return ev_err(spark, d).extend_positions(_parts(spark, d, pos="p * 5").select("seq_id", "pos")).ones().select("pos")
 
 
 @query("negate", "WITH v AS (SELECT DISTINCT user_id * 2 AS v FROM events) SELECT j AS pos FROM (SELECT CAST(unnest(range((SELECT max(v) FROM v))) AS BIGINT) AS j) WHERE j NOT IN (SELECT v FROM v)")
@@ -443,9 +439,9 @@ def _(spark, d):
     return negate(ev_user(spark, d).df.select("seq_id", F.col("sym").alias("pos"))).select("pos")
 
 
-@query("from_words", f"WITH {SB} SELECT pos FROM b WHERE bit")
+@query("from_words", f"WITH {ER} SELECT pos FROM b WHERE bit")
 def _(spark, d):
-    b = _small_bits(spark, d)
+    b = ev_err(spark, d)
     return builders.from_words(b.words(), b.sizes).select("pos")
 
 
