@@ -165,6 +165,16 @@ def read_archives(archives: DataFrame, payload: bool = False, column: str = "arc
     return archives.select(column).mapInArrow(run, schema)
 
 
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+o AS (SELECT payload, max(page_id) AS original FROM p WHERE strlen(payload) >= {LEAST_BYTES} GROUP BY payload)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+  CASE WHEN original IS NULL OR original IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN original IS DISTINCT FROM page_id THEN original END AS refers_to
+FROM p LEFT JOIN o USING (payload)
+"""
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(common.table(spark, sf_dir, "pages"))
     return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

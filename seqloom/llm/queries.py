@@ -36,4 +36,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can say what a query returns; tests compare the others with brute force."""
+    from seqloom.llm import op7_warc
+
+    return {"op7_warc": op7_warc.ORACLE_SQL}
