@@ -25,11 +25,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op1_language_id.keep_known(docs)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``: the same for equal rows only, smallest for the smallest doc_id (null ids last).
+
+    Two hashes of all columns, and of which of them are null, tell rows apart; doc_id alone does not.
+    """
+    plain = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    nulls = [F.col(f"`{f.name}`").isNull() for f in docs.schema]
+    return docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*plain, *nulls).alias("a"), F.xxhash64(F.lit(1), *plain, *nulls).alias("b")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each class of near copies, the row with the smallest doc_id (one, if rows repeat it)."""
+    """Keeps one row of each class of near copies: that with the smallest doc_id, ties by a hash of the row; null ids last."""
     common.prepare(spark)
-    kept = op4_simhash.classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.kept_id), "left_semi").dropDuplicates(["doc_id"])
+    rows = keyed(docs)
+    found = op4_simhash.classes(rows.select(F.col("_row").alias("doc_id"), "text"))
+    kept = found.select(F.col("component_id.a").alias("_a"), F.col("component_id.b").alias("_b")).distinct()
+    rows = rows.select(*docs.columns, F.col("_row.a").alias("_a"), F.col("_row.b").alias("_b"))
+    return rows.join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -59,3 +59,11 @@ def test_repeated_rows_and_ids(spark):
     docs = documents(spark, [text, text, None])
     left = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted(r["doc_id"] for r in left.collect()) == [0, 2]
+
+
+def test_null_ids_and_one_id_with_two_texts(spark):
+    a, b, c, d, e = (prose(x, 100, i) for i, x in enumerate(("en", "de", "fr", "en", "de")))
+    rows = [(None, a), (None, a), (None, b), (None, c), (5, c), (1, d), (1, e), (2, d), (3, e), (3, e)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted([(None, a), (None, b), (5, c), (1, d), (1, e)], key=str)
