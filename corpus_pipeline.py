@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm import common, op1_language_id, op2_packing, op4_simhash, op5_quality
+from seqloom.llm import common, near_copies, op1_language_id, op2_packing, op5_quality
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +36,13 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each class of near copies: that with the smallest doc_id, ties by a hash of the row; null ids last."""
+    """Keeps one row of each class of near copies (five-word shingles, Jaccard 0.8 or more, linked).
+
+    It is that with the smallest doc_id, ties by a hash of the row; null ids last.
+    """
     common.prepare(spark)
     rows = keyed(docs)
-    found = op4_simhash.classes(rows.select(F.col("_row").alias("doc_id"), "text"))
-    kept = found.select(F.col("component_id.a").alias("_a"), F.col("component_id.b").alias("_b")).distinct()
+    kept = near_copies.kept(rows).select(F.col("_row.a").alias("_a"), F.col("_row.b").alias("_b"))
     rows = rows.select(*docs.columns, F.col("_row.a").alias("_a"), F.col("_row.b").alias("_b"))
     return rows.join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).select(*docs.columns)
 
