@@ -9,6 +9,7 @@ matches (tests compare them).
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Callable, Iterable
 from functools import lru_cache
@@ -73,20 +74,22 @@ def library_encoder(ranks_path: str, json_path: str) -> Callable[[str], list[int
 
     Texts of Latin letters go through the rank file, whose vocabulary is the same, and without
     adjacent white space through a pattern that needs no look-ahead; others, where two libraries
-    could class a character differently, through ``tokenizers`` itself.
+    could class a character differently, and those that hold an added token (such as
+    ``<|endoftext|>``, which gets its one id), through ``tokenizers`` itself.
     """
     full = public_tokenizers.PATTERN
     plain = rust_encoding(ranks_path, full.replace(r"\s+(?!\S)|\s+", r"\s"))._core_bpe.encode_ordinary
     whole = rust_encoding(ranks_path, full)._core_bpe.encode_ordinary
+    with open(json_path, "rb") as f:
+        added = [t["content"] for t in json.load(f).get("added_tokens", ())]
     slow = []
 
     def encode(text: str) -> list[int]:
-        if not text.isascii() and _BEYOND.search(text):
+        if (not text.isascii() and _BEYOND.search(text)) or any(a in text for a in added):
             if not slow:
                 from tokenizers import Tokenizer
 
                 slow.append(Tokenizer.from_file(json_path))
-                slow[0].encode_special_tokens = True
             return slow[0].encode(text, add_special_tokens=False).ids
         return whole(text) if _ADJACENT.search(text) else plain(text)
 

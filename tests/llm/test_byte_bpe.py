@@ -97,3 +97,10 @@ def test_token_counts_equal_brute_force(spark, library):
         at = sorted(lengths)[max(0, -(-int(share * 1000) * len(lengths) // 1000) - 1)]
         assert op10_token_counts.quantile(answers, share).first()["length"] == at
     assert op10_token_counts.limits(op10_token_counts.histogram(op10_token_counts.encoded_lengths(none_of(docs), ["doc_id"]))).count() == 0
+
+
+@pytest.mark.parametrize("text", ["before <|endoftext|> after", "<|endoftext|>", "  <|endoftext|><|endoftext|>\n\n", "日本 <|endoftext|>", "<|endoftext", "日本"])
+def test_library_encoder_gives_added_tokens_as_the_library_does(text):
+    from tokenizers import Tokenizer
+
+    assert byte_bpe.library_encoder(RANKS, JSON)(text) == Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
