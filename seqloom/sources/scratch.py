@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -10,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a local folder where it is unset (tests, one machine)."""
+    """``spark.checkpoint.dir``; where it is unset a folder of this machine, for a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
         found = Path(tempfile.mkdtemp(prefix="seqloom-")).as_uri()
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
