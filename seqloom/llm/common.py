@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqloom.sources.scratch import scratch, shared_dir
+
+__all__ = ["map_columns", "prepare", "scratch", "shared_dir", "slices", "split_join", "table", "text_of"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -28,29 +31,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = Path(tempfile.mkdtemp(prefix="seqloom-")).as_uri()
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+#: Keys with over one in so many rows are hot in ``split_join``; there are fewer of them than this.
+HOT_ONE_IN = 1000
 
 
-def scratch(df: DataFrame, name: str = "t") -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, whole after the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seqloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def split_join(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows.join(table, key, how)``, inner or left, where no task gets a hot key's rows.
+
+    ``table`` has one row a key, ``rows`` has ``total`` rows at most. Under ``HOT_ONE_IN`` keys can have more than one
+    in ``HOT_ONE_IN`` of the rows, whatever the data: their rows of ``table`` are broadcast, the rest is joined by a shuffle.
+    """
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * HOT_ONE_IN > total).select(F.col(key).alias("_hot"))
+    found = table.withColumn("_found", F.lit(True))
+    few = hot.join(found, F.col("_hot") == F.col(key), "left").drop(key)
+    marked = rows.join(F.broadcast(few), F.col(key) == F.col("_hot"), "left")
+    others = [c for c in table.columns if c != key]
+    by_map = marked.filter("_hot is not null" if how == "left" else "_found").select(*rows.columns, *others)
+    by_key = marked.filter("_hot is null").select(*rows.columns).join(table, key, how).select(*rows.columns, *others)
+    return by_map.unionByName(by_key)
 
 
 def text_of(value: str | None) -> str:
     return "" if value is None else value
 
 
+#: Bytes of a slice that workers turn into Python objects at once; one longer row is a slice of its own.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch, rows: int, most: int = SLICE_BYTES):
+    """``batch`` in slices of at most ``rows`` rows and, above one row, ``most`` bytes."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(rows, batch.num_rows - at)
+        while n > 1 and batch.slice(at, n).nbytes > most:
+            n //= 2
+        yield batch.slice(at, n)
+        at += n
+
+
 def map_columns(df: DataFrame, columns: list[str], schema, fn, rows: int = 256):
-    """``fn`` over slices of at most ``rows`` rows: lists of ``columns`` in, arrays or lists of ``schema``'s columns out.
+    """``fn`` over ``slices`` of at most ``rows`` rows: lists of ``columns`` in, arrays or lists of ``schema``'s columns out.
 
     The first column is handed through as an Arrow array, so keys of any type survive.
     """
@@ -61,8 +82,7 @@ def map_columns(df: DataFrame, columns: list[str], schema, fn, rows: int = 256):
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows):
                 out = fn(part.column(0), *(part.column(i).to_pylist() for i in range(1, part.num_columns)))
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for x, f in zip(out, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)

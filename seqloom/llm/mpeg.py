@@ -38,14 +38,14 @@ def _crc_table() -> list[int]:
     return out
 
 
-_TABLE = _crc_table()
+_CRC = _crc_table()
 
 
 @lru_cache(maxsize=4096)
 def crc16(data: bytes) -> int:
     c = 0xFFFF
     for b in data:
-        c = (c << 8 & 0xFF00) ^ _TABLE[c >> 8 ^ b]
+        c = (c << 8 & 0xFF00) ^ _CRC[c >> 8 ^ b]
     return c
 
 
@@ -61,6 +61,7 @@ class Header:
     samples: int
     checked: bool
     mono: bool
+    bound: int  # subbands from here on are coded for both channels together (Layers I and II)
 
     @property
     def side(self) -> int:
@@ -82,7 +83,8 @@ def header(four: bytes) -> Header | None:
     kbps, hz, pad = _KBPS[version == 3, layer][index], _RATES[version][rate], four[2] >> 1 & 1
     samples = 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
     length = (12_000 * kbps // hz + pad) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hz + pad
-    return Header(version, layer, kbps, hz, length, samples, not four[1] & 1, four[3] >> 6 == 3)
+    mode, joint = four[3] >> 6, 4 * (four[3] >> 4 & 3) + 4
+    return Header(version, layer, kbps, hz, length, samples, not four[1] & 1, mode == 3, joint if mode == 1 else 32)
 
 
 def _syncsafe(n: int) -> bytes:
@@ -155,42 +157,107 @@ def _read_tag(data: bytes, out: Stream) -> int:
     return end
 
 
+def _layer2_table(h: Header) -> tuple[list[int], int]:
+    """Bits of each subband's allocation, and from which subband on both channels share it."""
+    if h.version != 3:
+        widths = [4] * 4 + [3] * 7 + [2] * 19
+    else:
+        each = h.kbps // (1 if h.mono else 2)
+        if each <= 48:
+            widths = [4] * 2 + [3] * (10 if h.rate == 32_000 else 6)
+        elif h.rate == 48_000 or each <= 80:
+            widths = [4] * 11 + [3] * 12 + [2] * 4
+        else:
+            widths = [4] * 11 + [3] * 12 + [2] * 7
+    return widths, min(len(widths), h.bound)
+
+
+def _covered_bits(h: Header, data: bytes, at: int) -> int:
+    """How many bits from ``at`` on, behind the checksum, the checksum covers."""
+    channels = 1 if h.mono else 2
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (channels * h.bound + 32 - h.bound)
+    widths, bound = _layer2_table(h)
+    value, place, used = int.from_bytes(data[at : at + 64].ljust(64, b"\0")), 512, 0
+    for i, w in enumerate(widths):
+        shared = i >= bound
+        for _ in range(1 if shared else channels):
+            place -= w
+            if value >> place & ((1 << w) - 1):
+                used += 2 * (channels if shared else 1)
+    return 512 - place + used
+
+
+def checksum_holds(h: Header, data: bytes, at: int) -> bool:
+    """Whether the stored checksum of the frame at ``at`` is that of its header and side information or allocation."""
+    bits = _covered_bits(h, data, at + 6)
+    whole, rest = divmod(bits, 8)
+    c = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + whole])
+    for k in range(rest):
+        bit = data[at + 6 + whole] >> 7 - k & 1 if at + 6 + whole < len(data) else 0
+        c = (c << 1 ^ (0x8005 if (c >> 15 ^ bit) & 1 else 0)) & 0xFFFF
+    return c == int.from_bytes(data[at + 4 : at + 6])
+
+
+def _table(h: Header, data: bytes, at: int, start: int, out: Stream) -> bool:
+    """Parse a Xing/Info table behind the side information or a VBRI table 32 bytes behind the header; whether there is one."""
+    if data[start : start + 4] in (b"Xing", b"Info"):
+        flags, place = int.from_bytes(data[start + 4 : start + 8]), start + 8
+        out.vbr_frames = 0
+        if flags & 1:
+            out.vbr_frames, place = int.from_bytes(data[place : place + 4]), place + 4
+        if flags & 2:
+            out.vbr_bytes, place = int.from_bytes(data[place : place + 4]), place + 4
+        if flags & 4:
+            out.toc = data[place : place + 100]
+        return True
+    place = at + 36
+    if data[place : place + 4] == b"VBRI" and place + 26 <= at + h.length:
+        out.vbr_bytes, out.vbr_frames, entries, _, width = struct.unpack(">IIHHH", data[place + 10 : place + 24])
+        out.toc = data[place + 26 : min(at + h.length, place + 26 + entries * width)]
+        return True
+    return False
+
+
 def read(data: bytes) -> Stream:
-    """Every frame of ``data``; where bytes are no frame, the next place where a frame and what follows it agree."""
+    """Every frame of ``data``; where bytes are no frame, the next place where a frame and what follows it agree.
+
+    Frames come first: ``TAG`` 128 bytes before the end is an ID3v1 tag only where no frame spans it.
+    A stream without frames has rate 0 and no payload.
+    """
     out = Stream()
-    at = _read_tag(data, out)
-    end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
-    while at < end:
+    at, end = _read_tag(data, out), len(data)
+    tag = end - 128 if end >= 128 and data[-128:-125] == b"TAG" else end
+
+    def skip(at: int) -> int:
+        to = data.find(b"\xff", at + 1, end)
+        to = end if to < 0 else to
+        if at < tag < to:
+            to = tag
+        out.skipped += to - at
+        return to
+
+    ends = lambda place: place in (tag, end)
+    while at < end and at != tag:
         h = header(data[at : at + 4])
-        if h is None or at + h.length > end or (out.skipped and not out.offsets and header(data[at + h.length : at + h.length + 4]) is None and at + h.length < end):
-            to = data.find(b"\xff", at + 1, end)
-            to = end if to < 0 else to
-            out.skipped += to - at
-            at = to
+        if h is None or at + h.length > end:
+            at = skip(at)
+            continue
+        follows = ends(at + h.length) or header(data[at + h.length : at + h.length + 4]) is not None
+        if out.skipped and not out.offsets and not follows:
+            at = skip(at)
             continue
-        side_at = at + 4 + 2 * h.checked
-        side = data[side_at : side_at + h.side]
-        if h.checked and h.layer == 3:
-            good = crc16(data[at + 2 : at + 4] + side) == int.from_bytes(data[at + 4 : at + 6])
-            if not good and header(data[at + h.length : at + h.length + 4]) is None and at + h.length != end:
-                to = data.find(b"\xff", at + 1, end)  # neither its checksum nor what follows it says that this is a frame
-                to = end if to < 0 else to
-                out.skipped += to - at
-                at = to
+        start = at + 4 + 2 * h.checked + h.side
+        if h.checked:
+            good = checksum_holds(h, data, at)
+            if not good and not follows:  # neither its checksum nor what follows it says that this is a frame
+                at = skip(at)
                 continue
             out.checked += good
             out.broken += not good
-        start = side_at + h.side
-        if not out.offsets and out.vbr_frames is None and h.layer == 3 and data[start : start + 4] in (b"Xing", b"Info"):
-            flags, place = int.from_bytes(data[start + 4 : start + 8]), start + 8
-            out.vbr_frames = 0
-            if flags & 1:
-                out.vbr_frames, place = int.from_bytes(data[place : place + 4]), place + 4
-            if flags & 2:
-                out.vbr_bytes, place = int.from_bytes(data[place : place + 4]), place + 4
-            if flags & 4:
-                out.toc = data[place : place + 100]
-        else:
+        if out.offsets or out.vbr_frames is not None or h.layer != 3 or not _table(h, data, at, start, out):
             out.offsets.append(at)
             out.lengths.append(h.length)
             out.samples += h.samples

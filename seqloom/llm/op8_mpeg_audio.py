@@ -2,8 +2,8 @@
 
 ``write_media`` stores each whole text as UTF-8, padded by spaces to a positive multiple of 192
 bytes, in an MPEG stream (see ``mpeg``). ``read_media`` parses any column of MPEG streams: it
-resynchronises on frame headers, reads tags and the variable-bitrate table, verifies checksums,
-and returns the exact duration (samples and rate) and the offset of every frame to seek to.
+resynchronises on frame headers, reads tags and the variable-bitrate table (Xing, Info or VBRI),
+verifies checksums of all three layers, and returns the exact duration (samples and rate) and the offset of every frame to seek to.
 
 A null or empty text is 192 spaces; a null stream reads as an empty one. Repeated rows are
 repeated; an empty table gives an empty result. Only the key and the named column are read.
@@ -51,21 +51,36 @@ def feature_of(s: mpeg.Stream) -> str:
     return f"mpeg{VERSIONS[s.version]}-layer{s.layer} frames={len(s.offsets)} samples={s.samples}/{s.rate} kbps={','.join(map(str, sorted(s.kbps)))} crc={s.checked}/{s.checked + s.broken} vbr={s.vbr_frames},{s.vbr_bytes} toc={zlib.crc32(s.toc):08x} seek={seek:08x}"
 
 
+_DIGESTS = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("duration_s", T.DoubleType())]
+
+
+def digest_of(media: bytes | None) -> tuple:
+    """The contract's columns of one stored stream; without frames the payload is empty and lasts 0 s."""
+    media = media or b""
+    s = mpeg.read(media)
+    payload, n = b"".join(s.payload), s.tags.get("n_bytes", "")
+    return int(n) if n.isdecimal() else None, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(s), s.samples / s.rate if s.rate else 0.0
+
+
+def _digest_columns(df: DataFrame, column: str, stored) -> DataFrame:
+    schema = T.StructType([df.schema["doc_id"], *(T.StructField(n, t) for n, t in _DIGESTS)])
+
+    def made(keys, values):
+        rows = [digest_of(stored(v)) for v in values]
+        return keys, *([r[i] for r in rows] for i in range(len(_DIGESTS)))
+
+    return common.map_columns(df, ["doc_id", column], schema, made, rows=64)
+
+
 def digests(df: DataFrame) -> DataFrame:
     """The contract's columns of a media column, all from the stored bytes."""
-    kinds = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("duration_s", T.DoubleType())]
-    schema = T.StructType([df.schema["doc_id"], *(T.StructField(n, t) for n, t in kinds)])
+    return _digest_columns(df, "media", lambda m: m)
 
-    def made(keys, streams):
-        rows = []
-        for media in streams:
-            s = mpeg.read(media)
-            payload = b"".join(s.payload)
-            rows.append((int(s.tags["n_bytes"]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(s), s.samples / s.rate))
-        return keys, *([r[i] for r in rows] for i in range(len(kinds)))
 
-    return common.map_columns(df, ["doc_id", "media"], schema, made, rows=64)
+def stored_digests(df: DataFrame) -> DataFrame:
+    """``digests(write_media(df))`` in one pass: no stream leaves the worker that wrote and reads it."""
+    return _digest_columns(df, "text", media_of)
 
 
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(write_media(common.table(spark, sf_dir, "documents")))
+    return stored_digests(common.table(spark, sf_dir, "documents"))

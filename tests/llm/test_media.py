@@ -57,6 +57,66 @@ def test_headers_of_other_layers_and_versions():
         assert mpeg.header(bad) is None
 
 
+def test_payloads_that_look_like_a_tag():
+    for units in range(1, 9):
+        n = mpeg.UNIT * units
+        for back in range(3, 130):
+            payload = b"a" * (n - back) + b"TAG" + b"b" * (back - 3)
+            media = mpeg.write(payload, {"n_bytes": str(n)})
+            for stream in (media, media + b"TAG" + bytes(125)):
+                s = mpeg.read(stream)
+                assert b"".join(s.payload) == payload and (s.skipped, s.broken) == (0, 0)
+
+
+def test_streams_without_frames_have_defined_values():
+    for media in (None, b"", b"no audio", b"TAG" + bytes(125)):
+        n, size, _, _, _, _, feature, seconds = op.digest_of(media)
+        assert (n, size, seconds) == (None, 0, 0.0) and "frames=0" in feature
+
+
+def _crc_by_bits(bits):
+    c = 0xFFFF
+    for b in bits:
+        top = c >> 15
+        c = c << 1 & 0xFFFF
+        if top != b:
+            c ^= 0x8005
+    return c
+
+
+def test_checksums_of_layers_one_and_two():
+    r = random.Random(3)
+    # (second to fourth byte, bits covered behind the checksum for a body of zeros and of ones)
+    cases = [((0xFE, 0x44, 0xC0), 128, 128), ((0xFE, 0x44, 0x00), 256, 256), ((0xFE, 0x44, 0x50), 4 * (32 + 8), 4 * (32 + 8)), ((0xFC, 0xA4, 0xC0), 88, 88 + 54)]
+    for (b, c, d), zeros, ones in cases:
+        head = bytes((0xFF, b, c, d))
+        h = mpeg.header(head)
+        for body, covered in ((bytes(h.length - 6), zeros), (b"\xff" * (h.length - 6), ones)):
+            bits = [x >> 7 - k & 1 for x in head[2:] + body for k in range(8)][: 16 + covered]
+            frame = head + _crc_by_bits(bits).to_bytes(2) + body
+            assert mpeg.read(frame * 3).checked == 3
+            broken = bytearray(frame)
+            broken[6 + r.randrange(10)] ^= 0x10
+            s = mpeg.read(frame + bytes(broken) + frame)
+            assert (s.checked, s.broken) == (2, 1)
+
+
+def test_a_vbri_table():
+    head = bytes((0xFF, 0xFB, 0x90, 0x00))
+    frame = (head + bytes(413)).ljust(417, b"\0")
+    table = b"VBRI" + (1).to_bytes(2) + bytes(4) + (2000).to_bytes(4) + (7).to_bytes(4) + (3).to_bytes(2) + (1).to_bytes(2) + (2).to_bytes(2) + (1).to_bytes(2) + b"abcdef"
+    first = (head + bytes(32) + table).ljust(417, b"\0")
+    s = mpeg.read(first + frame * 7)
+    assert (s.vbr_frames, s.vbr_bytes, s.toc, len(s.offsets)) == (7, 2000, b"abcdef", 7)
+
+
+def test_one_pass_gives_what_two_give(spark):
+    docs = documents(spark)
+    kept = ("doc_id", "n_bytes", "payload_sha256", "media_sha256", "feature", "duration_s")
+    assert rows_of(op.stored_digests(docs), *kept) == rows_of(op.digests(op.write_media(docs)), *kept)
+    assert op.stored_digests(none_of(docs)).count() == 0
+
+
 def test_query_on_odd_rows(spark):
     docs = documents(spark)
     want = []
