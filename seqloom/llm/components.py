@@ -1,8 +1,8 @@
 """Connected components of links, by alternating large-star and small-star steps.
 
-Every step is a join and an aggregation; each round is written to the shared folder, so lineage
-stays short and nothing is collected. A node with very many links is a large join key, which
-adaptive execution splits; aggregates combine before the shuffle.
+Every step is an aggregation and a join; each round is written to the shared folder, so lineage
+stays short and nothing is collected. A node with a large share of all links (the root of a large
+group) is no join key of one task: ``split_join`` broadcasts the few such nodes' smallest neighbours.
 """
 
 from __future__ import annotations
@@ -16,15 +16,15 @@ from seqloom.llm import common
 MOST_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return common.split_join(both, least, "u", 2 * n).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = common.split_join(edges, least, "u", 2 * n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -35,9 +35,9 @@ def _state(edges: DataFrame) -> tuple:
 def star_components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node it reaches) of every node with a link; links: (u, v)."""
     edges = links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    state = None
+    state = (edges.count(), None)
     for _ in range(MOST_ROUNDS):
-        edges = common.scratch(_small_star(_large_star(edges)), "edges")
+        edges = common.scratch(_small_star(_large_star(edges, state[0]), state[0]), "edges")
         now = _state(edges)
         if now == state or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
