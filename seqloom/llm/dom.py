@@ -12,7 +12,9 @@ from html import unescape
 
 import numpy as np
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+#: Comments, declarations, and tags. No alternative looks at a character twice, except that a quote which
+#: is never closed is searched for once; then it is a plain character, and its tag ends at the next ``>``.
+_TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>=]++|=)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|data-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -76,6 +78,22 @@ class Page:
     def _parse(self, html: str) -> None:
         stack, links, block, at, n = [self._node("html", -1)], 0, None, 0, len(html)
         names = ["html"]
+        places: dict[str, list[int]] = {}  # of each open name but the first, where it stands in the stack
+        scopes = [0]
+        unclosed: set[str] = set()  # names whose end tag is known not to follow
+
+        def cut(k: int) -> None:
+            for name in names[k:]:
+                places[name].pop()
+                if name in _SCOPE:
+                    scopes.pop()
+            del names[k:], stack[k:]
+
+        def close(closed: tuple) -> None:
+            k = max((places[c][-1] for c in closed if places.get(c)), default=0)
+            if k > scopes[-1]:
+                cut(k)
+
         while at <= n:
             m = _TOKEN.search(html, at) if at < n else None
             end = m.start() if m else n
@@ -100,8 +118,10 @@ class Page:
             name = name.lower()
             if not m[1]:
                 if name in UNSEEN or name == "head":
-                    to = re.compile(rf"</{name}\b[^>]*(?:>|$)", re.I).search(html, at)
-                    if m[3][-1:] != "/" or name == "head":
+                    if name not in unclosed and (m[3][-1:] != "/" or name == "head"):
+                        to = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I).search(html, at)
+                        if to is None:
+                            unclosed.add(name)
                         at = to.end() if to else (n if name != "head" else at)
                     continue
                 if name == "br" or name == "hr":
@@ -113,35 +133,25 @@ class Page:
                     continue
                 if name in INLINE or name in VOID:
                     continue
-                if name in ("html", "body") and name in names:
+                if name in ("html", "body") and name in places or name == "html":
                     continue
                 block = None
                 if name in _ENDS_P:
-                    self._close(stack, names, ("p",))
+                    close(("p",))
                 if name in _CLOSES:
-                    self._close(stack, names, _CLOSES[name])
+                    close(_CLOSES[name])
                 links = 0 if name in _ENDS_P else links
+                places.setdefault(name, []).append(len(stack))
+                if name in _SCOPE:
+                    scopes.append(len(stack))
                 stack.append(self._node(name, stack[-1], m[3]))
                 names.append(name)
             elif name == "a":
                 links = max(0, links - 1)
             elif name not in INLINE and name not in ("html", "body"):
                 block = None
-                if name in names[1:]:
-                    while names[-1] != name:
-                        names.pop()
-                        stack.pop()
-                    names.pop()
-                    stack.pop()
-
-    @staticmethod
-    def _close(stack: list[int], names: list[str], closed: tuple) -> None:
-        for k in range(len(names) - 1, 0, -1):
-            if names[k] in closed:
-                del names[k:], stack[k:]
-                return
-            if names[k] in _SCOPE:
-                return
+                if places.get(name):
+                    cut(places[name][-1])
 
     def texts(self, kept) -> list[str]:
         """Blocks of kept nodes, white space inside made one space; none is empty."""

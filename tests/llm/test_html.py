@@ -1,3 +1,6 @@
+import time
+from html.parser import HTMLParser
+
 import numpy as np
 import pytest
 
@@ -30,6 +33,69 @@ def test_odd_pages(trees):
     assert isinstance(op.main_blocks(deep, trees), list)
 
 
+class _Plain(HTMLParser):
+    """Texts between block tags, by the standard library's parser."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.out, self.skip = [[]], 0
+        self.feed(html)
+        self.close()
+        self.out = [t for x in self.out if (t := " ".join("".join(x).split()))]
+
+    def handle_starttag(self, tag, attrs):
+        if tag in dom.UNSEEN or tag == "head":
+            self.skip += 1
+        elif tag not in dom.INLINE and (tag not in dom.VOID or tag in ("br", "hr")):
+            self.out.append([])
+
+    def handle_endtag(self, tag):
+        if tag in dom.UNSEEN or tag == "head":
+            self.skip -= 1
+        elif tag not in dom.INLINE:
+            self.out.append([])
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.out[-1].append(data)
+
+
+def test_block_texts_are_those_of_another_parser(trees):
+    for seed in range(60_000, 60_060):
+        html = page_maker.Maker(seed).page()
+        page = dom.Page(html)
+        assert page.texts(np.ones(len(page.tag), bool)) == _Plain(html).out
+
+
+def test_no_markup_leaks():
+    for html, want in (
+        ('<p>hello</p><p title="x>world</p>', ["hello", "world"]),
+        ("<p>a</p><p title='it>b</p>", ["a", "b"]),
+        ('<p title="a > b">c</p>', ["c"]),
+        ("<p>a</ >b</p>", ["ab"]),
+        ("<p>x<!-->y<!--->z<!-- q --!>w", ["xyzw"]),
+        ("<p>3 < 4 and 5 > 2</p>", ["3 < 4 and 5 > 2"]),
+        ('<p a="1"b=\'2\' c = "3>">d', ["d"]),
+        ("<td>a<td>b<tr><td>c</table>d", ["a", "b", "c", "d"]),
+    ):
+        page = dom.Page(html)
+        assert page.texts(np.ones(len(page.tag), bool)) == want
+
+
+def test_long_pages_take_linear_time(trees):
+    n = 5_000_000
+    for part in ('<a "', "<a href='x", '<a href="x', "<!-- ", "<", "</", "<script/>", "<head>", "= ", "&amp"):
+        start = time.process_time()
+        dom.Page(f"<p>{part * (n // len(part))}")
+        assert time.process_time() - start < 5, part
+    deep = "<x>" * 50_000 + "<td></td></y>" * 50_000
+    start = time.process_time()
+    dom.Page(f"<td><div>{deep}")
+    assert time.process_time() - start < 5
+    text = " ".join(op.main_blocks(f"<article><h1>Long</h1>{f'<p>{PROSE}</p>' * 8000}</article>", trees))
+    assert text.count(PROSE) == 8000 and len(text) > 1_000_000
+
+
 def test_unseen_layouts(trees):
     """Pages of seeds that were not trained on: words of main text found, and words found that are main text."""
     hit = found = there = 0
