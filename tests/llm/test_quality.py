@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import pytest
 from llm_data import TEXTS, documents, none_of, prose, rows_of
@@ -10,7 +11,8 @@ def brute_counts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-    covered = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    often = Counter(windows)
+    covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(3)}
     seen, again = set(), 0
     for line in text.split("\n"):
         if re.search(r"[^\x20\x09-\x0D]", line):
@@ -19,8 +21,7 @@ def brute_counts(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), again, len(covered)
 
 
-SMALL = [t for t in TEXTS if len(t or "") < 5000]
-MORE = [*SMALL, "a b c a b c a b", "x\n x\nx\nx \n\n\n", "a\x0bb\x0cc\x1cd", "x y z " * 40, prose("fr", 60, 1) + " " + prose("fr", 60, 1), "ÀÉ ß # * & | <tag>"]
+MORE = [*TEXTS, "a b c a b c a b", "x\n x\nx\nx \n\n\n", "a\x0bb\x0cc\x1cd", "x y z " * 40, prose("fr", 60, 1) + " " + prose("fr", 60, 1), "ÀÉ ß # * & | <tag>"]
 
 
 @pytest.mark.parametrize("text", MORE)
@@ -55,11 +56,17 @@ def test_query_on_odd_rows(spark):
     docs = documents(spark, MORE)
     got = rows_of(op.score(docs), "doc_id", *op.COUNTS[:5], "base_failed", "kept", "p_good")
     assert len(got) == len(MORE) + 2
+    all_texts = [*MORE, MORE[-1], None]
+    votes = [op.votes_of(dict(zip(op.COUNTS, op.counts_of(t), strict=True))) for t in all_texts]
+    model = op.fit(sorted(Counter(votes).items()))
+    good = {t: model.posterior(v) for t, v in zip(all_texts, votes, strict=True)}
     for doc, n, *rest in got:
         counts = brute_counts(None if doc is None else MORE[doc])
         assert (n, *rest[:4]) == counts
         assert rest[4] == (n < 50 or 100 * counts[4] > 50 * n)
-        assert not (rest[4] and rest[5])
+        p = good[None if doc is None else MORE[doc]]
+        assert rest[6] == pytest.approx(p, abs=2e-6)
+        assert rest[5] == (not rest[4] and p >= op.KEEP_FROM)
     assert op.score(none_of(docs)).count() == 0
 
 
