@@ -1,8 +1,10 @@
 """A bidirectional gated recurrent network over bytes, in numpy.
 
 Text is cut into segments of ``SEGMENT`` bytes; each is read forwards and backwards from a zero
-state, all segments of a batch side by side, and every byte gets class probabilities. Training is
-backpropagation through time over whole segments, by Adam, with the loss at every position.
+state (the padding of a short one keeps it zero), all segments of a batch side by side, and every byte
+gets class probabilities. Training is backpropagation through time over whole segments, by Adam, with
+the loss at every position. One more class stands for no language that was learned: its examples
+are the others' with their letters exchanged, by another permutation each time.
 """
 
 from __future__ import annotations
@@ -13,6 +15,9 @@ import numpy as np
 
 SEGMENT = 64
 HIDDEN = 10
+MOST_HIDDEN = 48
+#: Examples of a training step, and steps; more steps for more classes than fit a quarter of a batch.
+BATCH, STEPS = 96, 220
 #: Segments that are run side by side; it bounds memory.
 SIDE_BY_SIDE = 2048
 
@@ -25,17 +30,18 @@ class Network:
     recur: list[np.ndarray]
     out: np.ndarray
     bias: np.ndarray
-    labels: list[str]
+    labels: list[str]  # the class behind the last one is that of no learned language, if ``train`` made the network
 
     @classmethod
-    def new(cls, labels: list[str], hidden: int = HIDDEN, seed: int = 7) -> Network:
+    def new(cls, labels: list[str], hidden: int = HIDDEN, seed: int = 7, classes: int | None = None) -> Network:
+        n = classes or len(labels)
         r = np.random.default_rng(seed)
         make = lambda *shape, scale: (r.standard_normal(shape) * scale).astype(np.float32)
         return cls(
             [make(256, 3 * hidden, scale=0.3) for _ in range(2)],
             [make(hidden, 3 * hidden, scale=hidden**-0.5) for _ in range(2)],
-            make(2 * hidden, len(labels), scale=0.3),
-            np.zeros(len(labels), np.float32),
+            make(2 * hidden, n, scale=0.3),
+            np.zeros(n, np.float32),
             labels,
         )
 
@@ -51,8 +57,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _run(table: np.ndarray, recur: np.ndarray, bytes_: np.ndarray, order: range, keep: bool):
-    """States (T, N, H) of one direction; with ``keep`` also what backpropagation needs."""
+def _run(table: np.ndarray, recur: np.ndarray, bytes_: np.ndarray, order: range, keep: bool, there: np.ndarray | None = None):
+    """States (T, N, H) of one direction, zero where ``there`` (T, N) is; with ``keep`` also what backpropagation needs."""
     n, h = bytes_.shape[1], recur.shape[0]
     states = np.zeros((bytes_.shape[0], n, h), np.float32)
     state, kept = np.zeros((n, h), np.float32), []
@@ -64,17 +70,19 @@ def _run(table: np.ndarray, recur: np.ndarray, bytes_: np.ndarray, order: range,
         held = reset * state
         cand = np.tanh(x[:, 2 * h :] + held @ cand_w)
         new = state + update * (cand - state)
+        if there is not None:
+            new *= there[t][:, None]
         if keep:
             kept.append((t, state, update, reset, held, cand))
         states[t] = state = new
     return states, kept
 
 
-def probabilities(net: Network, bytes_: np.ndarray) -> np.ndarray:
-    """(T, N, classes) for segments as columns of ``bytes_`` (T, N)."""
+def probabilities(net: Network, bytes_: np.ndarray, there: np.ndarray | None = None) -> np.ndarray:
+    """(T, N, classes) for segments as columns of ``bytes_`` (T, N); ``there`` is 0 at padding, if there is any."""
     t = bytes_.shape[0]
-    forward, _ = _run(net.table[0], net.recur[0], bytes_, range(t), False)
-    backward, _ = _run(net.table[1], net.recur[1], bytes_, range(t - 1, -1, -1), False)
+    forward, _ = _run(net.table[0], net.recur[0], bytes_, range(t), False, there)
+    backward, _ = _run(net.table[1], net.recur[1], bytes_, range(t - 1, -1, -1), False, there)
     h = forward.shape[2]
     logits = forward @ net.out[:h] + backward @ net.out[h:] + net.bias
     logits -= logits.max(axis=2, keepdims=True)
@@ -83,14 +91,14 @@ def probabilities(net: Network, bytes_: np.ndarray) -> np.ndarray:
     return logits
 
 
-def _back(table, recur, bytes_, kept, d_states):
+def _back(table, recur, bytes_, kept, d_states, there):
     """Gradients of table and recur, from those of the states at every position."""
     h = recur.shape[0]
     d_table, d_recur = np.zeros_like(table), np.zeros_like(recur)
     carry = np.zeros_like(d_states[0])
     d_x = np.empty((carry.shape[0], 3 * h), np.float32)
     for t, state, update, reset, held, cand in reversed(kept):
-        d = d_states[t] + carry
+        d = (d_states[t] + carry) * there[t][:, None]
         d_cand = d * update * (1 - cand * cand)
         d_update = d * (cand - state) * update * (1 - update)
         d_held = d_cand @ recur[:, 2 * h :].T
@@ -104,10 +112,11 @@ def _back(table, recur, bytes_, kept, d_states):
 
 
 def loss_and_gradients(net: Network, bytes_: np.ndarray, label: np.ndarray, weight: np.ndarray):
-    """Cross-entropy at every position. bytes_ and weight: (T, N); label: (N,)."""
+    """Cross-entropy at every position. bytes_ and weight (0 at padding): (T, N); label: (N,)."""
     t, n = bytes_.shape
-    forward, kept_f = _run(net.table[0], net.recur[0], bytes_, range(t), True)
-    backward, kept_b = _run(net.table[1], net.recur[1], bytes_, range(t - 1, -1, -1), True)
+    there = (weight > 0).astype(np.float32)
+    forward, kept_f = _run(net.table[0], net.recur[0], bytes_, range(t), True, there)
+    backward, kept_b = _run(net.table[1], net.recur[1], bytes_, range(t - 1, -1, -1), True, there)
     h = forward.shape[2]
     logits = forward @ net.out[:h] + backward @ net.out[h:] + net.bias
     logits -= logits.max(axis=2, keepdims=True)
@@ -121,23 +130,38 @@ def loss_and_gradients(net: Network, bytes_: np.ndarray, label: np.ndarray, weig
     d *= (weight / total)[:, :, None]
     flat = d.reshape(t * n, -1)
     d_out = np.concatenate([forward.reshape(t * n, h).T @ flat, backward.reshape(t * n, h).T @ flat])
-    tf, rf = _back(net.table[0], net.recur[0], bytes_, kept_f, d @ net.out[:h].T)
-    tb, rb = _back(net.table[1], net.recur[1], bytes_, kept_b, d @ net.out[h:].T)
+    tf, rf = _back(net.table[0], net.recur[0], bytes_, kept_f, d @ net.out[:h].T, there)
+    tb, rb = _back(net.table[1], net.recur[1], bytes_, kept_b, d @ net.out[h:].T, there)
     return loss, [tf, tb, rf, rb, d_out, flat.sum(axis=0)]
 
 
-def train(samples: list[bytes], labels: list[str], steps: int = 220, batch: int = 96, rate: float = 0.02, seed: int = 11) -> Network:
-    """Fit on byte strings of any length; each step takes a random segment of ``batch`` of them, classes in equal parts."""
+def exchanged(text: str, r: np.random.Generator) -> str:
+    """``text`` with its letters exchanged among themselves: words of no language, with the spaces of one."""
+    letters = sorted({c for c in text.lower() if c.isalpha()})
+    other = dict(zip(letters, r.permutation(letters).tolist(), strict=True))
+    return "".join(other.get(c, c) for c in text.lower())
+
+
+def train(samples: list[str], labels: list[str], steps: int | None = None, batch: int = BATCH, rate: float = 0.02, seed: int = 11) -> Network:
+    """Fit on texts of any length; each step takes a random segment of ``batch`` of them, classes in turn, so in equal parts."""
     names = sorted(set(labels))
-    net, r = Network.new(names), np.random.default_rng(seed)
-    by = [[s for s, x in zip(samples, labels, strict=True) if x == name and s] for name in names]
-    by = [b or [b" "] for b in by]
+    classes = len(names) + 1
+    net, r = Network.new(names, min(MOST_HIDDEN, max(HIDDEN, classes)), classes=classes), np.random.default_rng(seed)
+    steps = steps or STEPS * max(1, -(-4 * classes // batch))
+    by: dict[str, list[str]] = {}
+    for text, name in zip(samples, labels, strict=True):
+        if text:
+            by.setdefault(name, []).append(text)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in net.parameters()]
+    turn = 0
     for step in range(1, steps + 1):
         bytes_, weight = np.zeros((SEGMENT, batch), np.uint8), np.zeros((SEGMENT, batch), np.float32)
-        label = np.arange(batch) % len(names)
+        label = (turn + np.arange(batch)) % classes
+        turn = (turn + batch) % classes
         for i, c in enumerate(label):
-            s = by[c][r.integers(len(by[c]))]
+            some = by.get(names[c if c < len(names) else r.integers(len(names))]) or [" "]
+            text = some[r.integers(len(some))]
+            s = (text if c < len(names) else exchanged(text, r)).encode("utf-8", "replace")
             at = int(r.integers(max(1, len(s) - SEGMENT + 1)))
             part = np.frombuffer(s[at : at + SEGMENT], np.uint8)
             bytes_[: len(part), i], weight[: len(part), i] = part, 1
@@ -158,7 +182,7 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     sizes = np.array([len(t) for t in texts])
     counts = -(-sizes // SEGMENT)
     owner = np.repeat(np.arange(len(texts)), counts)
-    total = np.zeros((len(texts), len(net.labels)))
+    total = np.zeros((len(texts), len(net.bias)))
     if not len(owner):
         return total
     padded = b"".join(t + b"\0" * (-len(t) % SEGMENT) for t in texts)
@@ -168,8 +192,8 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
     full = counts > 0
     length[last[full]] = sizes[full] - (counts[full] - 1) * SEGMENT
     for at in range(0, len(segments), SIDE_BY_SIDE):
-        p = probabilities(net, np.ascontiguousarray(segments[at : at + SIDE_BY_SIDE].T))
         mask = (np.arange(SEGMENT)[:, None] < length[at : at + SIDE_BY_SIDE]).astype(np.float32)
+        p = probabilities(net, np.ascontiguousarray(segments[at : at + SIDE_BY_SIDE].T), mask)
         sums = np.einsum("tnc,tn->nc", p, mask)
         np.add.at(total, owner[at : at + SIDE_BY_SIDE], sums)
     return total / np.maximum(sizes, 1)[:, None]

@@ -35,8 +35,7 @@ def test_pooling_is_the_mean_over_all_bytes():
     each = []
     for at in range(0, len(text), gru.SEGMENT):
         part = text[at : at + gru.SEGMENT]
-        padded = np.frombuffer(part.ljust(gru.SEGMENT, b"\0"), np.uint8)[:, None]
-        each.append(gru.probabilities(net, padded)[: len(part), 0])
+        each.append(gru.probabilities(net, np.frombuffer(part, np.uint8)[:, None])[:, 0])  # without padding
     got = gru.pooled(net, [b"", text, b"x"])
     assert np.allclose(got[1], np.concatenate(each).mean(axis=0), atol=1e-5)
     assert got[0].tolist() == [0, 0] and abs(got[2].sum() - 1) < 1e-5
@@ -85,4 +84,31 @@ def test_the_sample_is_bounded(spark):
     texts, langs = _corpus()
     docs = documents(spark, texts, langs)
     rows = op.training_rows(docs, per_language=20)
-    assert 0 < len(rows) < 3 * 40 and max(len(p) for _, p in rows) <= op.WINDOW
+    assert len(rows) == 3 * 20 and max(len(p) for _, p in rows) <= op.WINDOW
+    assert len(op.training_rows(docs, per_language=20, total=30)) == 3 * 10
+    one = spark.createDataFrame([(1, "a text", "en")] * 500 + [(2, "noch einer", "de")], "doc_id bigint, text string, lang string")
+    assert sorted(op.training_rows(one, per_language=50)) == [("de", "noch einer")] + [("en", "a text")] * 50  # one id in all rows
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i, f"text {i}", f"l{i % 300:03}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert len({x for x, _ in op.training_rows(docs, total=100)}) == 300
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 220)]
+    r = random.Random(5)
+    made = lambda k, n: "".join(r.choice(letters[2 * k : 2 * k + 2]) for _ in range(n))
+    names = [f"l{k:03}" for k in range(110)]  # more than a batch has places
+    net = gru.train([made(k, 60) for k in range(110) for _ in range(3)], [n for n in names for _ in range(3)], steps=400)
+    got, _ = op.predict(net, [made(k, 40) for k in range(110)])
+    assert sum(a == b for a, b in zip(got, names, strict=True)) >= 100
+
+
+def test_texts_of_no_learned_language_are_rejected(spark):
+    texts, langs = _corpus()
+    r = random.Random(4)
+    words = ["".join(r.choice("bcdfghjklmnpqrstvwxzaeiou") for _ in range(r.randint(3, 9))) for _ in range(200)]
+    strange = [" ".join(r.choice(words) for _ in range(150)) for _ in range(20)] + ["многие годы прошли с тех пор как они жили здесь " * 10, "これは知らない言葉で書かれた長い文章です。" * 10]
+    docs = documents(spark, texts + strange, langs + [None] * len(strange))
+    kept = {r["doc_id"] for r in op.keep_known(docs).collect()}
+    assert len(kept & set(range(len(texts)))) >= len(texts) - 2
+    assert len(kept - set(range(len(texts)))) <= 2
