@@ -25,26 +25,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op1_language_id.keep_known(docs)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``: the same for equal rows only, smallest for the smallest doc_id (null ids last).
+#: Names that no column of documents has.
+FILE, ROW = "__file_of_row", "__place_in_file"
 
-    Two hashes of all columns, and of which of them are null, tell rows apart; doc_id alone does not.
-    """
-    plain = [F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
-    nulls = [F.col(f"`{f.name}`").isNull() for f in docs.schema]
-    return docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*plain, *nulls).alias("a"), F.xxhash64(F.lit(1), *plain, *nulls).alias("b")))
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``FILE`` and ``ROW``, a hash of a row's file and its place there: they tell even equal rows apart."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = common.scratch(docs, "docs")
+    file = docs.metadataColumn("_metadata")
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.xxhash64(file["file_path"]).alias(FILE), file["row_index"].alias(ROW))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each class of near copies (five-word shingles, Jaccard 0.8 or more, linked).
+    """Keeps one row of each class of near copies (operator 4 over five-word shingles, and similarity 0.8 or more).
 
-    It is that with the smallest doc_id, ties by a hash of the row; null ids last.
+    It is that with the smallest doc_id, null ids last, ties by the place of the row. Rows that go are looked up by
+    place: they are broadcast while they are few (``near_copies.FEW``), and texts are not shuffled.
     """
     common.prepare(spark)
-    rows = keyed(docs)
-    kept = near_copies.kept(rows).select(F.col("_row.a").alias("_a"), F.col("_row.b").alias("_b"))
-    rows = rows.select(*docs.columns, F.col("_row.a").alias("_a"), F.col("_row.b").alias("_b"))
-    return rows.join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).select(*docs.columns)
+    rows = numbered(docs)
+    found = near_copies.classes(rows.select("doc_id", F.col(FILE).alias("a"), F.col(ROW).alias("b"), "text"))
+    placed = common.scratch(found.select("root", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "a", "b").alias("place")), "placed")
+    first = placed.groupBy("root").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    gone = common.split_join(placed, first, "root", placed.count(), counted="n").filter("place <> first").select(F.col("place.a").alias(FILE), F.col("place.b").alias(ROW))
+    gone = common.scratch(gone, "gone")
+    few = F.broadcast(gone) if gone.count() <= near_copies.FEW else gone
+    return rows.join(few, [FILE, ROW], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,20 +35,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 HOT_ONE_IN = 1000
 
 
-def split_join(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+def split_join(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner", counted: str | None = None) -> DataFrame:
     """``rows.join(table, key, how)``, inner or left, where no task gets a hot key's rows.
 
     ``table`` has one row a key, ``rows`` has ``total`` rows at most. Under ``HOT_ONE_IN`` keys can have more than one
-    in ``HOT_ONE_IN`` of the rows, whatever the data: their rows of ``table`` are broadcast, the rest is joined by a shuffle.
+    in ``HOT_ONE_IN`` of the rows, whatever the data: their rows of ``table`` are broadcast, and their rows are dealt
+    by a hash of all columns. ``counted`` names a column of ``table`` with the number of ``rows`` of its key, if there is one.
     """
-    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * HOT_ONE_IN > total).select(F.col(key).alias("_hot"))
-    found = table.withColumn("_found", F.lit(True))
-    few = hot.join(found, F.col("_hot") == F.col(key), "left").drop(key)
-    marked = rows.join(F.broadcast(few), F.col(key) == F.col("_hot"), "left")
-    others = [c for c in table.columns if c != key]
-    by_map = marked.filter("_hot is not null" if how == "left" else "_found").select(*rows.columns, *others)
-    by_key = marked.filter("_hot is null").select(*rows.columns).join(table, key, how).select(*rows.columns, *others)
-    return by_map.unionByName(by_key)
+    others = [c for c in table.columns if c not in (key, counted)]
+    if counted:
+        hot = table.filter(F.col(counted) * HOT_ONE_IN > total)
+    else:
+        hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * HOT_ONE_IN > total).select(key).join(table, key)
+    hot = hot.select(F.col(key).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in others))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    dealt = marked.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    plain = table.select(F.col(key).alias("_key"), F.lit(True).alias("_there"), *(F.col(c).alias(f"_own_{c}") for c in others))
+    both = dealt.join(plain, "_key", "left")
+    if how == "inner":
+        both = both.filter("_hot is not null or _there")
+    return both.select(*rows.columns, *(F.when(F.col("_hot").isNull(), F.col(f"_own_{c}")).otherwise(F.col(f"_hot_{c}")).alias(c) for c in others))
 
 
 def text_of(value: str | None) -> str:

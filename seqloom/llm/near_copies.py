@@ -1,257 +1,316 @@
-"""Classes of near copies by the Jaccard similarity of word shingles (the pipeline's stage).
-
-Texts are linked whose sets of ``SHINGLE``-word shingles (bytes, A-Z lowered, split at ASCII white
-space; a shorter text is one shingle) are similar by at least ``NUM`` / ``DEN`` = 0.8. Classes are the
-connected components of all such links; none is left to chance, save that hashes of 64 bits could clash.
-
-* Equal sets are one node. Each set is ordered by one order of all shingles: those that are common
-  in an eighth of the nodes last, others by hash. Similar sets share a shingle among the first
-  s - ceil(0.8 s) + 1 of each, whatever the order; common ones last only makes fewer meet.
-* Nodes that meet at a shingle of at most ``BUCKET`` nodes are paired, and a pair goes on if sizes and
-  the count of shared first shingles allow 0.8. Nodes that meet at a larger one are all joined to the smallest.
-* Components of these pairs hold all similar pairs. A component's sets are brought together once,
-  and compared unless already connected: a large group of near copies takes about one comparison each.
+"""Near copies: operator 4's classes over five-word shingles, completed to a similarity of 0.8.
+
+Two texts are linked if their sets of ``SHINGLE``-word shingles (bytes, A-Z lowered, split at ASCII
+white space; a shorter text is one shingle) have Jaccard similarity ``NUM`` / ``DEN`` = 0.8 or more, or
+if the SimHash fingerprints of these sets differ in at most 2 bits. Classes are the connected components.
+
+* Equal sets are one node.
+* Fingerprints go through operator 4's shards of BK-trees, which links most copies. But 64 bits
+  separate sets of similarity 0.8 by about ten bits, so more is needed for the rest:
+* ``BANDS`` bands of ``ROWS`` minimum hashes deal nodes to groups. Sets of similarity s share no group with
+  probability (1 - s^ROWS)^BANDS, 3e-7 at 0.8 and less above. Candidates are
+  compared by their whole sets, so nothing below 0.8 is linked here.
+* A group's nodes are compared with its smallest node by way of at most ``BLOCK`` to one node, unless
+  they are already in one class. Groups whose nodes then are in several classes are compared in
+  full, in blocks of ``BLOCK`` nodes, each a BK-tree over sets: children are keyed by the
+  size of the symmetric difference, and a search follows only edges within the radius. Blocks
+  are ordered by class, and two blocks of one class are not compared.
+
+No task gets all of a large group of equal or near texts: see ``common.split_join``. Sets are built again from the
+texts that need them, and texts themselves are only shuffled beyond ``FEW`` rows to look up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import lru_cache
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seqloom.llm import common
+from seqloom.llm import common, op4_simhash
 from seqloom.llm.components import star_components
 
 SHINGLE = 5
 NUM, DEN = 4, 5
-BUCKET = 30
-#: Common shingles that are ordered last, at most; found in one of ``SAMPLE`` nodes, ``COMMON`` times there.
-MOST_COMMON, SAMPLE, COMMON = 200_000, 8, 4
-SLOTS = 1 << 22
+BANDS, ROWS = 50, 6
+BLOCK = 512
+#: Rows of two integers up to which a side is broadcast; beyond it is joined by a shuffle.
+FEW = 500_000
 
 
 def shingles(text: str | None):
     """The sorted hashes of the shingles of a whole text."""
     import numpy as np
-    import xxhash
 
-    words = common.text_of(text).encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    line, digest, n = b" ".join(words), xxhash.xxh64_intdigest, max(1, len(words) - SHINGLE + 1)
-    ends, at = [], -1
-    for w in words:
-        at += len(w) + 1
-        ends.append(at)
-    starts = [0, *(e + 1 for e in ends[: n - 1])]
-    return np.unique(np.array([digest(line[a:z]) for a, z in zip(starts, ends[min(SHINGLE, len(words)) - 1 :], strict=True)], "u8").view(np.int64))
+    return np.unique(op4_simhash.shingle_hashes(text, SHINGLE))
 
 
 def node_of(found) -> int:
     import xxhash
 
-    x = xxhash.xxh64_intdigest(found.tobytes())
-    return x - (1 << 64) if x >> 63 else x
+    return op4_simhash.signed(xxhash.xxh64_intdigest(found.tobytes()))
 
 
 def similar(both: int, a: int, b: int) -> bool:
     return (NUM + DEN) * both >= NUM * (a + b)
 
 
-def first(found, common_ones, counts):
-    """The first shingles in the order of all, of which similar sets share one."""
-    import numpy as np
+def radius(size: int) -> int:
+    """The largest symmetric difference of a similar set: with one of size / 0.8."""
+    return size * (DEN - NUM) // NUM
 
-    s = len(found)
-    if len(common_ones):
-        at = np.searchsorted(common_ones, found).clip(0, len(common_ones) - 1)
-        found = found[np.argsort(np.where(common_ones[at] == found, counts[at], 0), kind="stable")]
-    return found[: s - -(-NUM * s // DEN) + 1] if s else found
 
+@lru_cache(maxsize=1)
+def _mixers():
+    import numpy as np
 
-def _flat(df: DataFrame, schema: str, fn) -> DataFrame:
-    """``fn`` over the columns of each batch as lists; it returns columns."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    r = np.random.default_rng(4)
+    n = BANDS * ROWS
+    return r.integers(0, 1 << 32, (n, 1), np.uint32), r.integers(0, 1 << 31, (n, 1), np.uint32) * np.uint32(2) + np.uint32(1), r.integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                out = fn(*(c.to_pylist() for c in batch.slice(at, 256).columns))
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+def bands_of(sets: list):
+    """(sets, BANDS): which group of each band a set is in; sets are not empty."""
+    import numpy as np
 
+    flip, times, fold = _mixers()
+    least = np.empty((len(sets), BANDS * ROWS), np.uint32)
+    for i, s in enumerate(sets):
+        short, own = (s >> np.uint64(32)).astype(np.uint32), None
+        for at in range(0, len(short), 1024):
+            now = ((short[at : at + 1024] ^ flip) * times).min(axis=1)
+            own = now if own is None else np.minimum(own, now)
+        least[i] = own
+    mixed = (least.reshape(-1, BANDS, ROWS).astype(np.uint64) * fold).sum(axis=2, dtype=np.uint64)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    return mixed.view(np.int64)
+
+
+def _arrow(schema: str):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
-def _common(rows: DataFrame):
-    import numpy as np
+    return to_arrow_schema(_parse_datatype_string(schema))
 
-    def made(texts):
-        return (np.concatenate([shingles(t) for t in texts] or [np.zeros(0, np.int64)]),)
 
-    part = _flat(rows.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text"), "sh bigint", made)
-    found = part.groupBy("sh").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "sh").limit(MOST_COMMON).toArrow()
-    ones, counts = (found.column(i).to_numpy() for i in range(2))
-    order = np.argsort(ones)
-    return ones[order], counts[order]
+def nodes(rows: DataFrame) -> DataFrame:
+    """``rows`` with node, fp and bands in place of text; bands only where a task meets a node for the first time."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
+    own = [c for c in rows.columns if c != "text"]
+    schema = rows.select(*own).schema.add("node", "long").add("fp", "long").add("bands", T.ArrayType(T.LongType()))
+    arrow = to_arrow_schema(schema)
 
-def _dealt(rows: DataFrame, common_ones, counts) -> DataFrame:
-    """sh, node and size: the first shingles of each row's set."""
-    import numpy as np
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            for part in common.slices(batch, 256):
+                sets = [shingles(t) for t in part.column(len(own)).to_pylist()]
+                found = [node_of(s) for s in sets]
+                fresh = []
+                for i, n in enumerate(found):
+                    if n not in seen and len(sets[i]):
+                        seen.add(n)
+                        fresh.append(i)
+                bands = [None] * len(sets)
+                for i, x in zip(fresh, bands_of([sets[i] for i in fresh]) if fresh else (), strict=True):
+                    bands[i] = x
+                prints = [op4_simhash.signed(op4_simhash.majority(s)) for s in sets]
+                made = [pa.array(x, f.type) for x, f in zip((found, prints, bands), list(arrow)[-3:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], schema=arrow)
+
+    return rows.select(*own, "text").mapInArrow(run, schema)
+
+
+def _print_links(known: DataFrame) -> DataFrame:
+    """Links between nodes whose fingerprints are equal or linked by operator 4."""
+    distinct = known.select("fp", "node").distinct()
+    prints = common.scratch(distinct.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")), "prints")
+    linked = op4_simhash.links(prints.select("fp"))
+    first = prints.select("fp", "first")
+    one = linked.join(first.withColumnRenamed("fp", "u"), "u").select("v", F.col("first").alias("one"))
+    across = one.join(first.withColumnRenamed("fp", "v"), "v").select(F.col("one").alias("u"), F.col("first").alias("v"))
+    inside = common.split_join(distinct, prints.filter("n > 1"), "fp", known.count(), counted="n").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    return across.unionByName(inside).filter("u <> v").distinct()
+
+
+def _met(known: DataFrame) -> DataFrame:
+    """band, node and the node of the group that it is compared with, for groups of two or more nodes."""
+    each = known.filter("bands is not null").select("node", F.explode("bands").alias("band")).dropDuplicates(["band", "node"])
+    order = Window.partitionBy("band").orderBy("node")
+    ranked = each.withColumn("rank", F.row_number().over(order) - 1).withColumn("least", F.first("node").over(order))
+    seen = ranked.withColumn("first", F.last(F.when(F.col("rank") % BLOCK == 0, F.col("node")), ignorenulls=True).over(order))
+    return seen.withColumn("with", F.when(F.col("node") == F.col("first"), F.col("least")).otherwise(F.col("first"))).filter("node <> with").select("band", "node", "with")
+
+
+def _rooted(df: DataFrame, roots: DataFrame, column: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the class of the node in ``column``. No node is in many rows: see ``BANDS`` and ``BLOCK``."""
+    table = roots.select(F.col("node").alias(column), F.col("root").alias("_root"))
+    return df.join(table, column, "left").withColumn(out, F.coalesce("_root", column)).drop("_root")
+
+
+def _sets(rows: DataFrame, known: DataFrame, needed: DataFrame) -> DataFrame:
+    """node and found (its set, as bytes) of the nodes in ``needed``, once each."""
+    import pyarrow as pa
 
-    seen = rows.sparkSession.sparkContext.broadcast((common_ones, counts))
+    one = common.scratch(known.join(needed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("a", "b")).alias("at")).select("at.a", "at.b"), "needed")
+    texts = rows.select("a", "b", "text").join(F.broadcast(one) if one.count() <= FEW else one, ["a", "b"], "left_semi").select("text")
+    schema = "node bigint, found array<bigint>"
+    arrow = _arrow(schema)
 
-    def made(texts):
-        sets = [shingles(t) for t in texts]
-        heads = [first(s, *seen.value) for s in sets]
-        many = [len(h) for h in heads]
-        nodes = np.array([node_of(s) for s in sets], np.int64)
-        return np.concatenate(heads), np.repeat(nodes, many), np.repeat(np.array([len(s) for s in sets], np.int32), many)
+    def run(batches):
+        for batch in batches:
+            for part in common.slices(batch, 256):
+                sets = [shingles(t) for t in part.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view("<i8") for s in sets], pa.list_(pa.int64()))], schema=arrow)
 
-    return _flat(rows.select("text"), "sh bigint, node bigint, size int", made)
+    return common.scratch(texts.mapInArrow(run, schema), "sets")
 
 
-def _meet(dealt: DataFrame, bucket: int) -> DataFrame:
-    """Pairs (u, v) at small shingles, with what the sizes leave to be shared; ``need`` is 0 for links at large ones."""
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sets are similar."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("found").alias("one")), "u")
+    both = both.join(sets.select(F.col("node").alias("v"), F.col("found").alias("other")), "v")
+    sizes = F.size("one") + F.size("other")
+    near = NUM * F.greatest(F.size("one"), F.size("other")) <= DEN * F.least(F.size("one"), F.size("other"))
+    return both.filter(near).filter((NUM + DEN) * F.size(F.array_intersect("one", "other")) >= NUM * sizes).select("u", "v")
 
-    schema = "u bigint, v bigint, need int"
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
 
-    def pairs(sh, node, size, out):
-        import numpy as np
+class SetTree:
+    """BK-tree over sets: children are keyed by the size of the symmetric difference to their parent."""
 
-        edges = np.flatnonzero(np.diff(sh)) + 1
-        starts, ends = np.r_[0, edges], np.r_[edges, len(sh)]
-        for k in np.flatnonzero(ends - starts > 1):
-            sizes = dict(zip(node[starts[k] : ends[k]].tolist(), size[starts[k] : ends[k]].tolist(), strict=True))
-            mine = sorted(sizes.items())
-            if len(mine) > bucket:
-                out += [(x, mine[0][0], 0) for x, _ in mine[1:]]
-                continue
-            for i, (x, a) in enumerate(mine):
-                for y, b in mine[:i]:
-                    if NUM * max(a, b) <= DEN * min(a, b):
-                        both = -(-NUM * (a + b) // (NUM + DEN))
-                        out.append((x, y, max(1, both + 1 - -(-NUM * max(a, b) // DEN))))
+    def __init__(self):
+        self.root = None
 
-    def run(batches):
+    @staticmethod
+    def apart(a, b) -> int:
         import numpy as np
 
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
-        for batch in batches:
-            held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-            if not len(held[0]):
-                continue
-            cut, out = int(np.searchsorted(held[0], held[0][-1])), []
-            if cut:
-                pairs(*(h[:cut] for h in held), out)
-                held = [h[cut:] for h in held]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
-        out = []
-        if len(held[0]):
-            pairs(*held, out)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(arrow)], schema=arrow)
-
-    return dealt.repartition("sh").sortWithinPartitions("sh").mapInArrow(run, schema)
-
-
-def group_links(members: list) -> list[tuple[int, int]]:
-    """(node, smallest node it reaches) over similar pairs of (node, set)."""
-    import numpy as np
-
-    classes: list[list] = []  # each by size
-    for node, own in sorted(members, key=lambda m: (len(m[1]), m[0])):
-        met, apart = [], []
-        for c in classes:
-            for _, other in reversed(c):
-                if DEN * len(other) < NUM * len(own):
-                    apart.append(c)  # sizes only fall from here
-                    break
-                if similar(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other)):
-                    met.append(c)
-                    break
-            else:
-                apart.append(c)
-        if len(met) == 1:
-            met[0].append((node, own))  # the largest so far
-        else:
-            classes = [*apart, sorted([*(m for c in met for m in c), (node, own)], key=lambda m: (len(m[1]), m[0]))]
-    return [(m, r) for c in classes for r in [min(m for m, _ in c)] for m, _ in c if m != r]
-
-
-def _verified(sets: DataFrame) -> DataFrame:
-    """Links of each group; rows (grp, node, found) come with a group's side by side."""
+        return len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True))
+
+    def add(self, node: int, own) -> None:
+        if self.root is None:
+            self.root = (node, own, {})
+            return
+        at = self.root
+        while (d := self.apart(at[1], own)) in at[2]:
+            at = at[2][d]
+        at[2][d] = (node, own, {})
+
+    def similar_to(self, own) -> list[int]:
+        found, todo, r = [], [self.root] if self.root else [], radius(len(own))
+        while todo:
+            node, there, children = todo.pop()
+            d = self.apart(there, own)
+            if similar((len(there) + len(own) - d) // 2, len(there), len(own)):
+                found.append(node)
+            todo += [c for k, c in children.items() if d - r <= k <= d + r]
+        return found
+
+
+def block_links(left: list, right: list | None = None) -> list[tuple[int, int]]:
+    """Links between ``left`` and ``right``, lists of (node, class, set), or within ``left``: one a class that another absorbs."""
+    tree, up, class_of = SetTree(), {}, {}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for node, own_class, _ in (*left, *(right or ())):
+        up.setdefault(own_class, own_class)
+        class_of[node] = own_class
+
+    def join(node: int, own) -> None:
+        for other in tree.similar_to(own):
+            a, b = top(class_of[node]), top(class_of[other])
+            if a != b:
+                up[max(a, b)] = min(a, b)
+
+    for node, _, own in left:
+        if right is None:
+            join(node, own)
+        tree.add(node, own)
+    for node, _, own in right or ():
+        join(node, own)
+    return [(c, r) for c in up if (r := top(c)) != c]
+
+
+def _open(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """band, node and root of the groups in which nodes of several classes have not been compared.
+
+    In a group of one block the first node has been, with all others. Of groups of the same nodes one stays.
+    """
+    ends = common.scratch(_rooted(_rooted(met, roots, "node", "x"), roots, "with", "y"), "ends")
+    count, small = F.count(F.lit(1)), F.col("n") < BLOCK
+    bands = ends.groupBy("band").agg(count.alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("y").alias("lo2"), F.max("y").alias("hi2"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("of"))
+    apart = F.when(small, F.col("lo") != F.col("hi")).otherwise(F.least("lo", "lo2") != F.greatest("hi", "hi2"))
+    bands = common.scratch(bands.filter(apart).withColumn("whole", ~small).dropDuplicates(["of", "n"]).select("band", "whole"), "bands")
+    mine = ends.join(bands, "band")
+    return mine.select("band", "node", F.col("x").alias("root")).unionByName(mine.filter("whole").select("band", F.col("with").alias("node"), F.col("y").alias("root"))).distinct()
+
+
+def _all_compared(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Links between classes within groups (band, node, root), in pairs of blocks that hold different classes."""
     import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
+    ranked = members.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("root", "node")) - 1)
+    placed = common.scratch(ranked.select("band", "node", "root", F.expr(f"rank div {block}").alias("block")), "placed")
+    blocks = common.scratch(placed.groupBy("band", "block").agg(F.min("root").alias("lo"), F.max("root").alias("hi")), "blocks")
+    other = blocks.select("band", F.col("block").alias("right"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    tasks = blocks.withColumnRenamed("block", "left").join(other, "band").filter("left <= right and not (lo = hi and lo2 = hi2 and lo = lo2)")
+    tasks = common.scratch(tasks.select("band", "left", "right"), "tasks")
+    use = tasks.select("band", F.col("left").alias("block"), "left", "right", F.lit(0).alias("side")).unionByName(tasks.filter("left <> right").select("band", F.col("right").alias("block"), "left", "right", F.lit(1).alias("side")))
+    full = placed.join(use, ["band", "block"]).join(sets, "node")
     schema = "u bigint, v bigint"
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = _arrow(schema)
 
     def run(batches):
-        import numpy as np
+        task, sides = None, ([], [])
 
         def sent(out):
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], schema=arrow)
 
-        group, members = None, {}
+        def links():
+            return block_links(sides[0], sides[1] if task and task[1] != task[2] else None)
+
         for batch in batches:
-            out = []
-            for g, node, found in zip(*(batch.column(i) for i in range(3)), strict=True):
-                if g.as_py() != group:
-                    out += group_links(list(members.items()))
-                    group, members = g.as_py(), {}
-                members[node.as_py()] = np.frombuffer(found.as_py(), np.int64)
+            out, found = [], batch.column(6)
+            values, offsets = found.values.to_numpy(), found.offsets.to_numpy()
+            for i, (band, left, right, side, node, root) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True)):
+                if (band, left, right) != task:
+                    out += links()
+                    task, sides = (band, left, right), ([], [])
+                sides[side].append((node, root, values[offsets[i] : offsets[i + 1]].copy()))
             yield sent(out)
-        yield sent(group_links(list(members.items())))
-
-    return sets.mapInArrow(run, schema)
-
-
-def _sets(rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """node and set of the rows in ``needed`` (grp, node, a): a bitmap of their hashes spares the others' shingles."""
-    import numpy as np
-
-    slot = F.pmod(F.col("a"), F.lit(SLOTS))
-    maps = needed.groupBy(F.bitmap_bucket_number(slot).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
-    bits = np.zeros((SLOTS // 32768 + 2, 4096), np.uint8)
-    for r in maps:
-        bits[r["k"]] = np.frombuffer(r["bits"], np.uint8)
-    held = rows.sparkSession.sparkContext.broadcast(bits)
-
-    def made(hashes, texts):
-        nodes, found = [], []
-        for x, t in zip(hashes, texts, strict=True):
-            s = x % SLOTS
-            k, p = (1 + (s - 1) // 32768, (s - 1) % 32768) if s else (0, 0)
-            if held.value[k, p >> 3] >> (p & 7) & 1:
-                own = shingles(t)
-                nodes.append(node_of(own))
-                found.append(own.tobytes())
-        return nodes, found
-
-    return _flat(rows.select("a", "text"), "node bigint, found binary", made)
-
-
-def kept(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """The smallest ``_row`` of each class; rows: ``_row`` (with field ``a``, a hash) and ``text``."""
-    rows = rows.select("_row", F.col("_row.a").alias("a"), "text")
-    schema = rows.select("_row").schema.add("node", "long")
-    nodes = common.map_columns(rows, ["_row", "text"], schema, lambda keys, texts: (keys, [node_of(shingles(t)) for t in texts]))
-    least = common.scratch(nodes.groupBy("node").agg(F.min("_row").alias("_row")), "nodes")
-    dealt = _dealt(rows, *_common(rows))
-    met = common.scratch(_meet(dealt, bucket).groupBy("u", "v", "need").count().filter("count >= need").select("u", "v"), "met")
-    groups = common.scratch(star_components(met), "groups")
-    grouped = groups.select("node", F.col("root").alias("grp")).unionByName(groups.select(F.col("root").alias("node"), F.col("root").alias("grp"))).distinct()
-    needed = common.scratch(grouped.join(least, "node").select("grp", "node", F.col("_row.a").alias("a")), "needed")
-    sets = _sets(rows, needed).join(needed.select("grp", "node"), "node").select("grp", "node", "found")
-    links = common.scratch(_verified(sets.repartition("grp").sortWithinPartitions("grp", "node")), "links")
-    roots = star_components(links)
-    named = least.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "_row")
-    return named.groupBy("root").agg(F.min("_row").alias("_row")).select("_row")
+        yield sent(links())
+
+    by_task = full.repartition("band", "left", "right").sortWithinPartitions("band", "left", "right", "side", "node")
+    return by_task.select("band", "left", "right", "side", "node", "root", "found").mapInArrow(run, schema).distinct()
+
+
+def classes(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``rows`` with root (the class) in place of text; a and b together are a row's own place."""
+    known = common.scratch(nodes(rows), "nodes")
+    linked = common.scratch(_print_links(known), "links")
+    roots = star_components(linked)
+    met = common.scratch(_met(known), "met")
+    pairs = met.select(F.col("node").alias("u"), F.col("with").alias("v")).distinct()
+    apart = common.scratch(_rooted(_rooted(pairs, roots, "u", "x"), roots, "v", "y").filter("x <> y").select("u", "v"), "pairs")
+    if not apart.isEmpty():
+        sets = _sets(rows, known, apart.select(F.col("u").alias("node")).unionByName(apart.select(F.col("v").alias("node"))))
+        linked = linked.unionByName(common.scratch(_compared(apart, sets), "compared"))
+        roots = star_components(linked)
+        members = common.scratch(_open(met, roots), "open")
+        if not members.isEmpty():
+            sets = _sets(rows, known, members)
+            more = common.scratch(_all_compared(members, sets, block), "all-compared")
+            roots = roots if more.isEmpty() else star_components(linked.unionByName(more))
+    own = known.drop("fp", "bands")
+    found = common.split_join(own, roots, "node", own.count(), "left")
+    return found.withColumn("root", F.coalesce("root", "node")).drop("node")

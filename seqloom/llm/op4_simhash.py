@@ -197,7 +197,8 @@ def links(fps: DataFrame, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     rows, out, total = fps.select(F.explode(F.array(*keys)).alias("shard"), F.lit(False).alias("query"), "fp"), [], len(keys) * fps.count()
     for level in range(DEEPEST + 1):
         sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(~F.col("query"), F.col("fp"))).alias("root"))
-        sized = common.scratch(common.split_join(rows, sizes.filter("n > 1 and root is not null"), "shard", total), "shards")
+        sizes = sizes.filter("n > 1 and root is not null").withColumn("count", F.col("n"))
+        sized = common.scratch(common.split_join(rows, sizes, "shard", total, counted="count"), "shards")
         whole = "n > 0" if level == DEEPEST else f"n <= {shard_limit}"
         some = sized.filter(whole).select("shard", "query", "fp")
         out.append(common.scratch(_search(some.repartition("shard").sortWithinPartitions("shard", "query", "fp")), "found"))
@@ -216,9 +217,9 @@ def classes(docs: DataFrame, shard_limit: int = SHARD_LIMIT, width: int = WIDTH)
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     named = common.scratch(named, "named")
     totals = named.agg(F.count(F.lit(1)), F.sum("n")).first()
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = common.split_join(named.select("fp", "root"), least, "root", totals[0]).select("fp", "component_id")
-    return common.split_join(rows, common.scratch(by_print, "components"), "fp", totals[1] or 0)
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("count"))
+    by_print = common.split_join(named.select("fp", "root", "n"), least, "root", totals[0], counted="count").select("fp", "component_id", "n")
+    return common.split_join(rows, common.scratch(by_print, "components"), "fp", totals[1] or 0, counted="n")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@ import random
 
 import corpus_pipeline
 from llm_data import WORDS, documents, none_of, prose
+from test_near_copies import brute_roots
 from test_packing import check_sequences
-from test_simhash import brute_components, brute_fingerprint
 
 from seqloom.llm import op1_language_id, op2_packing, op5_quality
 
@@ -28,18 +28,19 @@ def test_every_stage_does_its_work_and_no_more(spark):
     assert set(range(60)) <= {r["doc_id"] for r in good.collect()}
 
     known = stages["language"](spark, good, "")
-    scores = {r["doc_id"]: r["score"] for r in op1_language_id.identify(good, op1_language_id.learn(good)).collect()}
-    assert sorted(r["doc_id"] for r in known.collect()) == sorted(i for i, s in scores.items() if s >= op1_language_id.REJECT_BELOW)
+    net, those = op1_language_id.learn(good), good.collect()
+    learned = op1_language_id.in_learned(net, [r["text"] for r in those])
+    assert sorted(r["doc_id"] for r in known.collect()) == sorted(r["doc_id"] for r, ok in zip(those, learned, strict=True) if ok)
 
     left = stages["near_duplicates"](spark, known, "")
     rows = sorted((r["doc_id"], r["text"]) for r in known.collect())
-    classes = brute_components([i for i, _ in rows], [brute_fingerprint(t) for _, t in rows])
-    assert sorted(r["doc_id"] for r in left.collect()) == sorted(set(classes))
+    first = [rows[i][0] for i in brute_roots([t for _, t in rows])]
+    assert sorted(r["doc_id"] for r in left.collect()) == first
     assert left.columns == docs.columns
 
     packed = stages["packing"](spark, left, "").collect()
     check_sequences(packed, op2_packing.LIMIT)
-    assert {r["doc_id"] for r in packed} == set(classes)
+    assert {r["doc_id"] for r in packed} == set(first)
 
 
 def test_run_applies_the_stages_in_order(spark, tmp_path):

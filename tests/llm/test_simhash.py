@@ -96,3 +96,18 @@ def test_both_ways_agree_on_a_large_group(spark):
 
 def test_nothing(spark):
     assert op.classes(none_of(documents(spark))).count() == 0
+
+
+def test_components_of_chains_stars_and_hubs(spark, monkeypatch):
+    from seqloom.llm import components
+
+    r = random.Random(4)
+    chain = r.sample(range(1000), 120)
+    links = list(zip(chain, chain[1:])) + [(2000, x) for x in range(2001, 2300)] + [(3999, x) for x in range(3000, 3300)] + [(5000, 5000)]
+    want = {x: min(chain) for x in chain} | {x: 2000 for x in range(2001, 2300)} | {x: 3000 for x in [3999, *range(3001, 3300)]}
+    want.pop(min(chain))
+    df = spark.createDataFrame(links, "u bigint, v bigint").repartition(7)
+    assert {x["node"]: x["root"] for x in components.star_components(df).collect()} == want
+    monkeypatch.setattr(components, "_forest", lambda x: x.filter("u <> v").selectExpr("greatest(u, v) u", "least(u, v) v"))  # the rounds alone
+    assert {x["node"]: x["root"] for x in components.star_components(df).collect()} == want
+    assert components.star_components(df.filter("false")).count() == 0
