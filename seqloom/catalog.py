@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom import generators
 from seqloom.functions import words
 from seqloom.model import QuadSequence, Sequence
 from seqloom.operators import ranges, transforms
@@ -110,10 +111,19 @@ def _rank_sql(seq: str, value: str = "count(s.pos)", i: str = "q.i", most: str =
 # Access and scans
 
 
-@query("get", f"WITH {EV}, {M}, {_q(i=RANK_OPERANDS['i'])} SELECT q.qid, s.sym FROM q LEFT JOIN s ON s.pos = q.i")
-def _(spark, d):
-    s = ev_user(spark, d)
-    return s.get(_parts_of(spark, d, s.meta, i=RANK_OPERANDS["i"]))
+#: Names of queries on the other variants, and their variants.
+SHAPES = {"binary": "plain2", "huffman": "huffman4", "huffman_binary": "huffman2"}
+
+
+def _on_variants(name: str, sql: str, run) -> None:
+    """``name`` on the plain sequence, on those of ``SHAPES``, and on an index that is built first: ``run(spark, d, sequence)``."""
+    query(name, sql)(lambda spark, d: run(spark, d, ev_user(spark, d)))
+    for shape, variant in SHAPES.items():
+        query(f"{name}_{shape}", sql)(lambda spark, d, v=variant: run(spark, d, ev_user(spark, d, v)))
+    query(f"{name}_indexed", sql)(lambda spark, d: run(spark, d, ev_user(spark, d).indexed()))
+
+
+_on_variants("get", f"WITH {EV}, {M}, {_q(i=RANK_OPERANDS['i'])} SELECT q.qid, s.sym FROM q LEFT JOIN s ON s.pos = q.i", lambda spark, d, s: s.get(_parts_of(spark, d, s.meta, i=RANK_OPERANDS["i"])))
 
 
 @query("get_quad", f"WITH {PR}, {M}, {_q(i=RANK_OPERANDS['i'])} SELECT q.qid, s.sym FROM q LEFT JOIN s ON s.pos = q.i")
@@ -131,16 +141,15 @@ def _(spark, d):
 def _get_bits_sql(end: str) -> str:
     q = _q(index="(p * 7919) % (n + 50)", len="p % 70")
     return (
-        f"WITH {ER}, {NB}, {q} SELECT q.qid, CAST(CASE WHEN q.len < 1 OR q.len > 62 OR q.index + q.len {end} m.n THEN NULL ELSE "
-        "coalesce(sum(CASE WHEN b.bit THEN CAST(1 AS BIGINT) << (b.pos - q.index) ELSE 0 END), 0) END AS BIGINT) AS value "
-        "FROM q CROSS JOIN m LEFT JOIN b ON b.pos >= q.index AND b.pos < q.index + q.len AND q.len <= 62 GROUP BY q.qid, q.len, q.index, m.n"
+        f"WITH {ER}, {NB}, {q} SELECT q.qid, CAST(CASE WHEN q.len < 1 OR q.len > 64 OR q.index + q.len {end} m.n THEN NULL ELSE "
+        "coalesce(sum(CASE WHEN NOT b.bit THEN 0 WHEN b.pos - q.index = 63 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(1 AS HUGEINT) << CAST(b.pos - q.index AS INTEGER) END), 0) END AS BIGINT) AS value "
+        "FROM q CROSS JOIN m LEFT JOIN b ON b.pos >= q.index AND b.pos < q.index + q.len AND q.len <= 64 GROUP BY q.qid, q.len, q.index, m.n"
     )
 
 
 def _get_bits(spark, d, strict: bool):
     b = ev_err(spark, d)
-    q = _parts_of(spark, d, b.sizes.withColumnRenamed("n_bits", "n"), index="(p * 7919) % (n + 50)", len="p % 70")
-    return b.get_bits(q.withColumn("len", F.when(F.col("len") <= 62, F.col("len")).otherwise(0)), strict)
+    return b.get_bits(_parts_of(spark, d, b.sizes.withColumnRenamed("n_bits", "n"), index="(p * 7919) % (n + 50)", len="p % 70"), strict)
 
 
 @query("get_bits", _get_bits_sql(">"))
@@ -184,6 +193,41 @@ for _name, _start in (("zeros", 0), ("zeros_from", 777)):
     query(_name, f"WITH {ER} SELECT pos FROM b WHERE NOT bit AND pos >= {_start}")(lambda spark, d, s=_start: ev_err(spark, d).zeros(s).select("pos"))
 
 
+@query("iter_quads", f"WITH {PR} SELECT pos, sym FROM s")
+def _(spark, d):
+    return ord_prio(spark, d).iterate().select("pos", "sym")
+
+
+@query("iter_bits", f"WITH {ER} SELECT pos, bit FROM b")
+def _(spark, d):
+    return ev_err(spark, d).dense().select("pos", "bit")
+
+
+@query("zero_filled", "SELECT CAST(unnest(range((SELECT count(*) FROM events))) AS BIGINT) AS pos, false AS bit")
+def _(spark, d):
+    return BitSequence.zeros_of(ev_err(spark, d).sizes).dense().select("pos", "bit")
+
+
+@query("from_values", "SELECT CAST(unnest(range(5)) AS BIGINT) AS pos, CAST(unnest([3, 1, 4, 1, 5]) AS BIGINT) AS sym")
+def _(spark, d):
+    return builders.from_values(spark, [3, 1, 4, 1, 5]).select("pos", "sym")
+
+
+@query("equality", "SELECT true AS same, false AS longer_is_same")
+def _(spark, d):
+    s = ev_user(spark, d)
+    return spark.createDataFrame([(s.equals(ev_user(spark, d)), s.equals(s.extend(s.df)))], "same boolean, longer_is_same boolean")
+
+
+@query("bytes_of_file", "SELECT CAST(unnest(range(length(t))) AS BIGINT) AS pos, CAST(unnest(list_transform(string_split(t, ''), lambda x: unicode(x))) AS BIGINT) AS sym FROM (SELECT string_agg(r_name, chr(10) ORDER BY r_name) || chr(10) AS t FROM region)")
+def _(spark, d):
+    import uuid
+
+    path = f"{shared_dir(spark)}/seqloom-bytes-{uuid.uuid4().hex}"
+    _table(spark, d, "region").select("r_name").coalesce(1).sortWithinPartitions("r_name").write.text(path)
+    return builders.from_bytes(spark, path).select("pos", "sym")
+
+
 # Rank
 
 
@@ -202,6 +246,8 @@ query("rank_join", _rank_sql(EV))(_rank(plan="join"))
 query("rank_binary", _rank_sql(EV))(_rank("plain2"))
 query("rank_huffman", _rank_sql(EV, absent=_ABSENT))(_rank("huffman4"))
 query("rank_huffman_binary", _rank_sql(EV, absent=_ABSENT))(_rank("huffman2"))
+query("rank_indexed", _rank_sql(EV))(lambda spark, d: (s := ev_user(spark, d).indexed()).rank(_parts_of(spark, d, s.meta, **RANK_OPERANDS)))
+query("rank_huffman_indexed", _rank_sql(EV, absent=_ABSENT))(lambda spark, d: (s := ev_user(spark, d, "huffman4").indexed()).rank(_parts_of(spark, d, s.meta, **RANK_OPERANDS)))
 query("rank_orders", _rank_sql(OC))(_rank(of=ord_cust))
 
 
@@ -258,10 +304,7 @@ def _select_sql(seq: str) -> str:
     return f"WITH {seq}, {M}, {_q(**SELECT_OPERANDS)} SELECT q.qid, o.pos FROM q LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY pos) - 1 AS k FROM s) o USING (sym, k)"
 
 
-@query("select", _select_sql(EV))
-def _(spark, d):
-    s = ev_user(spark, d)
-    return s.select(_parts_of(spark, d, s.meta, **SELECT_OPERANDS))
+_on_variants("select", _select_sql(EV), lambda spark, d, s: s.select(_parts_of(spark, d, s.meta, **SELECT_OPERANDS)))
 
 
 @query("select_quad", _select_sql(PR))
@@ -282,14 +325,22 @@ for _bit in (1, 0):
     )(_run_bit_select)
 
 
-@query(
-    "set_select",
-    "WITH b AS (SELECT o_orderkey * 3 AS v FROM orders), m AS (SELECT count(*) AS n FROM b), " + _q(k=BIT_OPERANDS["i"]) + " SELECT q.qid, o.v AS pos FROM q LEFT JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM b) o USING (k)",
-)
+_SET = "WITH b AS (SELECT o_orderkey * 3 AS v FROM orders), m AS (SELECT count(*) AS n FROM b), " + _q(k=BIT_OPERANDS["i"])
+_GAPS = "(SELECT CAST(unnest(range((SELECT max(v) FROM b))) AS BIGINT) AS v)"
+for _bit, _from in ((1, "b"), (0, f"{_GAPS} WHERE v NOT IN (SELECT v FROM b)")):
+
+    def _run_set_select(spark, d, bit=_bit):
+        s = builders.sequence(_table(spark, d, "orders"), "o_orderkey", F.col("o_orderkey") * 3)
+        found = SortedSet.from_increasing(s, with_select0=not bit)
+        return found.select(_parts_of(spark, d, Sequence(s).meta, k=BIT_OPERANDS["i"]), bit)
+
+    query(f"set_select{'' if _bit else 0}", f"{_SET} SELECT q.qid, o.v AS pos FROM q LEFT JOIN (SELECT v, row_number() OVER (ORDER BY v) - 1 AS k FROM {_from}) o USING (k)")(_run_set_select)
+
+
+@query("select_sql", f"WITH {EV} SELECT pos FROM s WHERE sym = 20 ORDER BY pos LIMIT 1 OFFSET 3")
 def _(spark, d):
-    s = builders.sequence(_table(spark, d, "orders"), "o_orderkey", F.col("o_orderkey") * 3)
-    found = SortedSet.from_increasing(s)
-    return found.select(_parts_of(spark, d, Sequence(s).meta, k=BIT_OPERANDS["i"]))
+    ev_user(spark, d).register("catalog_events")
+    return spark.sql("SELECT pos FROM catalog_events_select(20, 3)")
 
 
 # Ranges and counts
@@ -303,10 +354,7 @@ def _(spark, d):
 OCCS_SQL = f"WITH {EV}, {M}, {_q(**RANGE_OPERANDS)} SELECT q.qid, s.sym, count(*) AS cnt FROM q JOIN s ON s.pos >= q.l AND s.pos < q.r WHERE q.l <= q.r AND q.r <= (SELECT n FROM m) GROUP BY 1, 2"
 
 
-@query("occs_range_batch", OCCS_SQL)
-def _(spark, d):
-    s = ev_user(spark, d)
-    return s.occs_range_batch(_parts_of(spark, d, s.meta, **RANGE_OPERANDS))
+_on_variants("occs_range_batch", OCCS_SQL, lambda spark, d, s: s.occs_range_batch(_parts_of(spark, d, s.meta, **RANGE_OPERANDS)))
 
 
 @query("occs_range_wide", f"WITH {PR}, {M}, {_q(l='p * 3 % 2000', r='n - p % 1500')} SELECT q.qid, s.sym, count(*) AS cnt FROM q JOIN s ON s.pos >= q.l AND s.pos < q.r WHERE q.l <= q.r AND q.r <= (SELECT n FROM m) GROUP BY 1, 2")
@@ -504,26 +552,71 @@ def _(spark, d):
     return ev_user(spark, d, "plain2").levels().select("level", F.col("pos").cast("bigint").alias("pos"), "digit")
 
 
-@query("huffman_lengths")
-def _(spark, d):
-    return ev_user(spark, d, "huffman4").codes().select("sym", "len")
+def _code_sql(bits: int) -> str:
+    """CTEs: c (sym, w, len in bits, content) by merging the lightest nodes, ties by age and leaves by symbol first."""
+    a = 1 << bits
+    return (
+        f"WITH RECURSIVE {EV}, f AS (SELECT sym, count(*) AS w FROM s GROUP BY 1), k AS (SELECT count(*) AS n FROM f), "
+        f"leaves AS (SELECT w, row_number() OVER (ORDER BY sym) - 1 AS t, [CAST(sym AS BIGINT)] AS m FROM f "
+        f"UNION ALL SELECT CAST(0 AS BIGINT), -(n + j), CAST([] AS BIGINT[]) FROM (SELECT n, unnest(range(({a - 1} - (n - 1) % {a - 1}) % {a - 1})) AS j FROM k)), "
+        f"h AS (SELECT CAST(count(*) AS BIGINT) AS tick, list_sort(list(struct_pack(w := CAST(w AS BIGINT), t := CAST(t AS BIGINT), m := m))) AS nodes, CAST([] AS BIGINT[]) AS merged FROM leaves "
+        f"UNION ALL SELECT tick + 1, list_sort(list_append(nodes[{a + 1}:], struct_pack(w := CAST(list_sum(list_transform(nodes[1:{a}], lambda x: x.w)) AS BIGINT), t := tick + 1, m := flatten(list_transform(nodes[1:{a}], lambda x: x.m))))), "
+        f"flatten(list_transform(nodes[1:{a}], lambda x: x.m)) FROM h WHERE len(nodes) > 1), "
+        f"l AS (SELECT f.sym, f.w, u.digits FROM f JOIN (SELECT sym, count(*) AS digits FROM (SELECT unnest(merged) AS sym FROM h) GROUP BY 1) u USING (sym)), "
+        f"g AS (SELECT d, (SELECT count(*) FROM l WHERE digits = d) AS m, (SELECT count(*) FROM l WHERE digits > d) AS st FROM (SELECT unnest(range(1, (SELECT max(digits) FROM l) + 1)) AS d)), "
+        f"r AS (SELECT CAST(0 AS BIGINT) AS d, CAST(0 AS BIGINT) AS lo, CAST(1 AS BIGINT) AS hi UNION ALL SELECT g.d, greatest(lo * {a}, hi * {a} - m - greatest(1, st)), hi * {a} - m FROM r JOIN g ON g.d = r.d + 1), "
+        f"c AS (SELECT sym, w, digits * {bits} AS len, hi + m - row_number() OVER (PARTITION BY digits ORDER BY sym) AS content FROM l JOIN r ON r.d = l.digits JOIN g ON g.d = l.digits) "
+    )
 
 
-@query("huffman_lengths_bin")
-def _(spark, d):
-    return ev_user(spark, d, "huffman2").codes().select("sym", "len")
+for _shape, _bits in (("", 2), ("_bin", 1)):
+    _variant, _of = {2: "huffman4", 1: "huffman2"}[_bits], f"len // {_bits}"
 
+    @query(f"huffman_lengths{_shape}", _code_sql(_bits) + "SELECT sym, CAST(len AS INTEGER) AS len FROM c")
+    def _(spark, d, v=_variant):
+        return ev_user(spark, d, v).codes().select("sym", "len")
 
-@query("huffman_levels")
-def _(spark, d):
-    s = ev_user(spark, d, "huffman4")
-    return transforms.level_lengths(s.df, s.codes()).select("level", "n")
+    @query(f"huffman_codes{_shape}", _code_sql(_bits) + "SELECT sym, CAST(content AS BIGINT) AS content FROM c")
+    def _(spark, d, v=_variant):
+        return ev_user(spark, d, v).codes().select("sym", "content")
 
+    @query(f"huffman_levels{_shape}", _code_sql(_bits) + f"SELECT level, CAST(sum(w) AS BIGINT) AS n FROM (SELECT w, CAST(unnest(range({_of})) AS BIGINT) AS level FROM c) GROUP BY 1")
+    def _(spark, d, v=_variant, bits=_bits):
+        s = ev_user(spark, d, v)
+        return transforms.level_lengths(s.df, s.codes(), bits).select("level", "n")
 
-@query("huffman_cost")
-def _(spark, d):
-    s = ev_user(spark, d, "huffman4")
-    return transforms.huffman_cost(s.df, s.codes()).select("bits")
+    @query(f"huffman_cost{_shape}", _code_sql(_bits) + "SELECT CAST(sum(w * len) AS BIGINT) AS bits FROM c")
+    def _(spark, d, v=_variant):
+        s = ev_user(spark, d, v)
+        return transforms.huffman_cost(s.df, s.codes()).select("bits")
+
+    @query(f"huffman_n_levels{_shape}", _code_sql(_bits) + f"SELECT CAST(max({_of}) AS BIGINT) AS n_levels FROM c")
+    def _(spark, d, v=_variant):
+        return ev_user(spark, d, v).n_levels().select("n_levels")
+
+    @query(f"space_huffman{_shape}", _code_sql(_bits) + "SELECT CAST(round(sum(w * len) * 1.125) AS BIGINT) AS bits FROM c")
+    def _(spark, d, v=_variant):
+        return ev_user(spark, d, v).space().select("bits")
+
+    _digit = f"(content >> CAST(len - {_bits} * (level + 1) AS INTEGER)) & {(1 << _bits) - 1}"
+    _back = f"list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(level), lambda j: (content >> CAST(len - {_bits} * (level - j) AS INTEGER)) & {(1 << _bits) - 1})), lambda a, x: a * {1 << _bits} + x)"
+
+    @query(
+        f"huffman_level_contents{_shape}",
+        _code_sql(_bits) + f", e AS (SELECT pos, content, len, CAST(unnest(range({_of})) AS BIGINT) AS level FROM (SELECT s.pos, c.* FROM s JOIN c USING (sym))) SELECT level, row_number() OVER (PARTITION BY level ORDER BY {_back}, pos) - 1 AS pos, CAST({_digit} AS BIGINT) AS digit FROM e".lstrip(),
+    )
+    def _(spark, d, v=_variant):
+        return ev_user(spark, d, v).levels().select("level", F.col("pos").cast("bigint").alias("pos"), "digit")
+
+    for _shift in (_bits, 2 * _bits):
+
+        @query(
+            f"partition_with_codes{_shape}{'' if _shift == _bits else '_second'}",
+            _code_sql(_bits) + f"SELECT pos, sym, row_number() OVER (ORDER BY CASE WHEN len <= {_shift} THEN {1 << _bits} ELSE (content >> CAST(len - {_shift} AS INTEGER)) & {(1 << _bits) - 1} END, pos) - 1 AS new_pos FROM (SELECT s.pos, s.sym, c.len, c.content FROM s JOIN c USING (sym))",
+        )
+        def _(spark, d, v=_variant, shift=_shift, bits=_bits):
+            s = ev_user(spark, d, v)
+            return transforms.partition_with_codes(s.df, s.codes(), shift, bits).select("pos", "sym", F.col("new_pos").cast("bigint").alias("new_pos"))
 
 
 @query("huffman_decode", f"WITH {EV} SELECT pos, sym FROM s")
@@ -533,12 +626,6 @@ def _(spark, d):
     return transforms.decode(s.df.join(codes, ["seq_id", "sym"]).drop("sym"), codes).select("pos", "sym")
 
 
-@query("partition_with_codes")
-def _(spark, d):
-    s = ev_user(spark, d, "huffman4")
-    return transforms.partition_with_codes(s.df, s.codes(), 2).select("pos", "sym", "new_pos")
-
-
 @query("space_plain", f"WITH {EV}, {M} SELECT CAST(round(n * 2 * ceil(length(bin(sigma)) / 2.0) * 1.125) AS BIGINT) AS bits FROM m")
 def _(spark, d):
     return ev_user(spark, d).space().select("bits")
@@ -582,6 +669,19 @@ def _(spark, d):
     return args.selectExpr("v", "seq_select_in_word(w, k) AS place")
 
 
+_WIDE_ARGS = "p_partkey * 2654435761 AS lo, p_partkey * 40503 AS hi, p_partkey % 40 AS k"
+
+
+@query(
+    "select_in_word_128",
+    "SELECT v, CAST(coalesce(list_concat(list_filter(range(63), lambda x: (lo >> x) & 1 = 1), list_transform(list_filter(range(63), lambda x: (hi >> x) & 1 = 1), lambda x: x + 64))[k + 1], 128) AS BIGINT) AS place "
+    f"FROM (SELECT p_partkey AS v, {_WIDE_ARGS} {PK})",
+)
+def _(spark, d):
+    args = _table(spark, d, "part").selectExpr("p_partkey AS v", *_WIDE_ARGS.split(", "))
+    return args.select("v", words.select_in_word_128("lo", "hi", "k").alias("place"))
+
+
 @query("popcnt_wide", f"SELECT p_partkey AS v, CAST(bit_count(p_partkey) + bit_count(p_partkey * 977) AS BIGINT) AS ones {PK}")
 def _(spark, d):
     w = F.array(F.col("p_partkey"), F.col("p_partkey") * 977, F.col("p_partkey") * 31)
@@ -591,3 +691,39 @@ def _(spark, d):
 @query("digits", f"SELECT p_partkey AS v, (p_partkey >> 4) & 3 AS digit {PK}")
 def _(spark, d):
     return _table(spark, d, "part").select(F.col("p_partkey").alias("v"), words.digit("p_partkey", 4).alias("digit"))
+
+
+# Generated inputs: what must hold of them, since their values are the generator's own
+
+
+def _holds(spark, of: DataFrame, **checks) -> DataFrame:
+    return of.agg(*(F.coalesce(c, F.lit(True)).alias(n) for n, c in checks.items()))
+
+
+@query("generated_sequence", "SELECT true AS dense, true AS below_sigma, true AS repeatable")
+def _(spark, d):
+    s = generators.gen_sequence(spark, 5000, 40)
+    same = s.exceptAll(generators.gen_sequence(spark, 5000, 40)).isEmpty()
+    return _holds(spark, s, dense=(F.countDistinct("pos") == 5000) & (F.max("pos") == 4999), below_sigma=(F.min("sym") >= 0) & (F.max("sym") < 40), repeatable=F.lit(same))
+
+
+@query("generated_queries", "SELECT true AS positions, true AS ranges, true AS pairs")
+def _(spark, d):
+    q = generators.gen_queries(spark, 700, 90).select("qid", "i")
+    every = q.join(generators.gen_range_queries(spark, 700, 90).drop("seq_id"), "qid").join(generators.gen_pairs(spark, 700, 7, 9), "qid")
+    return _holds(spark, every, positions=(F.min("i") >= 0) & (F.max("i") < 90), ranges=F.expr("min(l) >= 0 and max(r) <= 90 and bool_and(l <= r)"), pairs=F.expr("min(least(a, b)) >= 0 and max(a) < 7 and max(b) < 9"))
+
+
+@query("generated_rank_select", "SELECT true AS rank_symbols_occur, true AS select_has_answers")
+def _(spark, d):
+    s = Sequence(scratch(generators.gen_sequence(spark, 5000, 40), "generated"))
+    ranks = s.rank(generators.gen_rank_queries(s.df, 300, 5000)).agg(F.count("rank").alias("n"))
+    found = s.select(generators.gen_select_queries(s.df, 300, 5000)).agg(F.count("pos").alias("m"))
+    return ranks.join(found).select((F.col("n") == 300).alias("rank_symbols_occur"), (F.col("m") == 300).alias("select_has_answers"))
+
+
+@query("generated_increasing", "SELECT true AS increasing, true AS below_most")
+def _(spark, d):
+    s = generators.gen_increasing(spark, 3000, 9000)
+    ok = SortedSet.from_increasing(s).ones_at.agg(F.sum("pos")).first()[0] > 0  # an error where it is not increasing
+    return _holds(spark, s, increasing=F.lit(ok), below_most=(F.min("sym") >= 0) & (F.max("sym") < 9000))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -12,7 +13,9 @@ from seqloom.functions.words import msb, n_digits
 from seqloom.operators import access, ranges, transforms
 from seqloom.operators import rank as ranks
 from seqloom.operators import select as selects
+from seqloom.plans.prefix import StoredIndex
 from seqloom.sources import builders
+from seqloom.sources.scratch import shared_dir
 
 #: name: (bits of a digit, Huffman-shaped)
 VARIANTS = {"plain": (2, False), "plain2": (1, False), "huffman4": (2, True), "huffman2": (1, True)}
@@ -29,6 +32,7 @@ class Sequence:
 
     df: DataFrame
     variant: str = "plain"
+    index: StoredIndex | None = None
 
     def __post_init__(self):
         if self.variant not in VARIANTS:
@@ -41,7 +45,20 @@ class Sequence:
     def checked(self) -> Sequence:
         """The same; negative symbols are an error when rows are computed."""
         ok = F.when(F.col("sym") >= 0, F.col("sym")).otherwise(F.raise_error(F.lit("negative symbol")).cast("bigint"))
-        return replace(self, df=self.df.withColumn("sym", ok))
+        return replace(self, df=self.df.withColumn("sym", ok), index=None)
+
+    def indexed(self, path: str | None = None) -> Sequence:
+        """The same with stored bucket counts: the build that every later rank, select and range batch reuses.
+
+        ``path`` keeps the index, and one that is complete there is loaded; otherwise it is a table of this session.
+        """
+        spark = self.df.sparkSession
+        path = path or f"{shared_dir(spark)}/seqloom-index-{uuid.uuid4().hex}"
+        built = StoredIndex.load(spark, path) if builders.complete(spark, f"{path}/meta") else None
+        if built is None:
+            builders.remove(spark, path)
+            built = StoredIndex.build(self.df, path)
+        return replace(self, df=built.data(), index=built)
 
     @property
     def bits(self) -> int:
@@ -53,16 +70,16 @@ class Sequence:
 
     @cached_property
     def meta(self) -> DataFrame:
-        return meta_of(self.df)
+        return self.index.meta() if self.index else meta_of(self.df)
 
     def get(self, queries: DataFrame) -> DataFrame:
-        return access.get(self.df, queries)
+        return access.get(self.index.data(queries) if self.index else self.df, queries)
 
     def iterate(self, backward: bool = False) -> DataFrame:
         return access.iterate(self.df, backward)
 
     def rank(self, queries: DataFrame, plan: str = "bucketed") -> DataFrame:
-        return ranks.rank(self.df, queries, self.meta, self.huffman, plan)
+        return ranks.rank(self.df, queries, self.meta, self.huffman, plan, index=self.index)
 
     def rank_prefetch(self, queries: DataFrame) -> DataFrame:
         """The answers of ``rank``: prefetching is a matter of memory hierarchies."""
@@ -75,21 +92,24 @@ class Sequence:
         return ranks.rank_block(self.df, queries, self.meta, block)
 
     def select(self, queries: DataFrame) -> DataFrame:
-        return selects.select(self.df, queries)
+        return selects.select(self.df, queries, self.index)
 
     def occs_range(self, l: int | None = None, r: int | None = None) -> DataFrame:  # noqa: E741
         return ranges.occs_range(self.df, l, r)
 
     def occs_range_batch(self, queries: DataFrame) -> DataFrame:
-        return ranges.occs_range_batch(self.df, queries, self.meta)
+        return ranges.occs_range_batch(self.df, queries, self.meta, index=self.index)
 
     def range_status(self, queries: DataFrame) -> DataFrame:
         return ranges.range_status(queries, self.meta)
 
     def frequencies(self) -> DataFrame:
-        return ranges.frequencies(self.df)
+        return self.index.frequencies() if self.index else ranges.frequencies(self.df)
 
     def levels(self) -> DataFrame:
+        """The content of every level: digits of symbols, or of codes in a Huffman-shaped sequence."""
+        if self.huffman:
+            return transforms.code_levels(self.df, self.codes(), self.bits)
         return transforms.levels(self.df, self.bits)
 
     def codes(self) -> DataFrame:
@@ -110,7 +130,7 @@ class Sequence:
         return own.select("seq_id", F.round(F.col("bits") * (1 + overhead)).cast("bigint").alias("bits"))
 
     def extend(self, more: DataFrame) -> Sequence:
-        return replace(self, df=builders.append(self.df, more))
+        return replace(self, df=builders.append(self.df, more), index=None)
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
         builders.save(self.df, path, mode)
@@ -119,11 +139,12 @@ class Sequence:
         return self.df.exceptAll(other.df).isEmpty() and other.df.exceptAll(self.df).isEmpty()
 
     def register(self, name: str) -> None:
-        """For SQL: view ``name``, table functions ``name_occs_range(l, r)`` and ``name_rank(sym, i)`` on it."""
+        """For SQL: view ``name``, table functions ``name_occs_range(l, r)``, ``name_rank(sym, i)`` and ``name_select(sym, k)`` on it."""
         spark = self.df.sparkSession
         self.df.createOrReplaceTempView(name)
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_occs_range(l BIGINT, r BIGINT) RETURNS TABLE(sym BIGINT, cnt BIGINT) RETURN SELECT s.sym, count(*) FROM {name} s WHERE s.pos >= l AND s.pos < r GROUP BY s.sym")
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_rank(c BIGINT, i BIGINT) RETURNS TABLE(rank BIGINT) RETURN SELECT count(*) FROM {name} s WHERE s.sym = c AND s.pos < i")
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_select(c BIGINT, k BIGINT) RETURNS TABLE(pos BIGINT) RETURN SELECT o.pos FROM (SELECT s.pos, row_number() OVER (ORDER BY s.pos) - 1 AS n FROM {name} s WHERE s.sym = c) o WHERE o.n = k")
 
 
 class QuadSequence(Sequence):
@@ -134,7 +155,7 @@ class QuadSequence(Sequence):
         return cls(builders.quads(df))
 
     def rank(self, queries: DataFrame, plan: str = "bucketed") -> DataFrame:
-        return ranks.rank(self.df, queries, self.meta, False, plan, "3")
+        return ranks.rank(self.df, queries, self.meta, False, plan, "3", self.index)
 
     def occs(self) -> DataFrame:
         return ranges.occs(self.df)

@@ -10,13 +10,29 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.plans.prefix import occurrence_index, prefix_count
+from seqloom.plans.prefix import occurrence_index, prefix_count, prefix_select
 
 
 def _long(x):
     return F.lit(x).cast("bigint")
 
 
+#: Places that one row is expanded to at most.
+RUN = 1 << 16
+
+
+def _places(sizes: DataFrame, n: str, out: str, start: int = 0) -> DataFrame:
+    """seq_id and ``out`` from ``start`` to below ``n``: no task makes all places of a sequence.
+
+    Runs of runs are expanded first, then dealt to tasks as runs, and there to places.
+    """
+    top = RUN * RUN
+    supers = sizes.select("seq_id", F.expr(f"cast({n} as bigint)").alias("_n")).filter(F.col("_n") > start).withColumn("_s", F.explode(F.expr(f"sequence({start // top}L, (_n - 1) div {top})")))
+    runs = supers.withColumn("_r", F.explode(F.expr(f"sequence(greatest(_s * {RUN}, {start // RUN}L), least((_s + 1) * {RUN} - 1, (_n - 1) div {RUN}))")))
+    dealt = runs.select("seq_id", "_n", "_r").repartition("seq_id", "_r")
+    return dealt.select("seq_id", F.explode(F.expr(f"sequence(greatest(_r * {RUN}, {start}L), least((_r + 1) * {RUN} - 1, _n - 1))")).alias(out))
+
+
 @dataclass(frozen=True)
 class BitSequence:
     ones_at: DataFrame
@@ -41,7 +57,7 @@ class BitSequence:
     # reading
 
     def dense(self) -> DataFrame:
-        places = self.sizes.filter("n_bits > 0").select("seq_id", F.explode(F.expr("sequence(0L, n_bits - 1)")).alias("pos"))
+        places = _places(self.sizes, "n_bits", "pos")
         return places.join(self.ones_at.withColumn("bit", F.lit(True)), ["seq_id", "pos"], "left").withColumn("bit", F.coalesce("bit", F.lit(False)))
 
     def get(self, queries: DataFrame) -> DataFrame:
@@ -66,17 +82,20 @@ class BitSequence:
     def words(self) -> DataFrame:
         """seq_id, w, word: all packed words."""
         packed = self.ones_at.groupBy("seq_id", F.expr("pos div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pos % 64 as int)))").alias("word"))
-        every = self.sizes.filter("n_bits > 0").select("seq_id", F.explode(F.expr("sequence(0L, (n_bits - 1) div 64)")).alias("w"))
+        every = _places(self.sizes, "(n_bits + 63) div 64", "w")
         return every.join(packed, ["seq_id", "w"], "left").withColumn("word", F.coalesce("word", _long(0)))
 
     def get_word(self, w: int) -> DataFrame:
-        return self.words().filter(F.col("w") == w)
+        """Word ``w`` of every sequence that has one: only its own ones are read."""
+        first = _long(64 * w)
+        packed = self.ones_at.filter((F.col("pos") >= first) & (F.col("pos") < first + 64)).groupBy("seq_id").agg(F.expr("bit_or(shiftleft(1L, cast(pos % 64 as int)))").alias("word"))
+        return self.sizes.filter(F.col("n_bits") > first).join(packed, "seq_id", "left").select("seq_id", _long(w).alias("w"), F.coalesce("word", _long(0)).alias("word"))
 
     def ones(self, start: int = 0) -> DataFrame:
         return self.ones_at.filter(F.col("pos") >= start)
 
     def zeros(self, start: int = 0) -> DataFrame:
-        places = self.sizes.filter(F.col("n_bits") > start).select("seq_id", F.explode(F.expr(f"sequence({start}L, n_bits - 1)")).alias("pos"))
+        places = _places(self.sizes, "n_bits", "pos", start)
         return places.join(self.ones_at, ["seq_id", "pos"], "left_anti")
 
     def counts(self) -> DataFrame:
@@ -94,9 +113,17 @@ class BitSequence:
         return found.select("qid", F.when((F.col("n_bits") > 0) & (F.col("i") >= 0) & (F.col("i") <= F.col("n_bits")), value).alias("rank"))
 
     def select(self, queries: DataFrame, bit: int = 1) -> DataFrame:
-        """(qid, seq_id, k) to (qid, pos); NULL where there are fewer."""
-        indexed = occurrence_index(self.ones() if bit else self.zeros(), ["seq_id"])
-        return queries.join(indexed, ["seq_id", "k"], "left").select("qid", "pos")
+        """(qid, seq_id, k) to (qid, pos); NULL where there are fewer.
+
+        A zero is found from the ones: before the k-th zero stand those ones with at most k zeros before them.
+        """
+        if bit:
+            return prefix_select(queries, self.ones_at, ["seq_id"]).select("qid", "pos")
+        numbered = occurrence_index(self.ones_at, ["seq_id"], out="_k")
+        runs = numbered.groupBy("seq_id", (F.col("pos") - F.col("_k")).alias("pos")).agg(F.count(F.lit(1)).alias("_n"))
+        zeros = self.counts().select("seq_id", "count_zeros")
+        found = prefix_count(queries.withColumn("i", F.col("k") + 1), runs, ["seq_id"], weight="_n").join(zeros, "seq_id", "left")
+        return found.select("qid", F.when((F.col("k") >= 0) & (F.col("k") < F.col("count_zeros")), F.col("k") + F.col("r")).alias("pos"))
 
     # changes
 
@@ -159,8 +186,11 @@ class SortedSet(BitSequence):
         """From (seq_id, pos, sym), sym increasing with pos; otherwise an error when rows are computed."""
         from pyspark.sql import Window
 
-        before = F.lag("sym").over(Window.partitionBy("seq_id").orderBy("pos"))
-        checked = seq.withColumn("_before", before).select("seq_id", F.when(F.col("_before") >= F.col("sym"), F.raise_error(F.lit("not strictly increasing")).cast("bigint")).otherwise(F.col("sym")).alias("pos"))
+        bucket = F.expr(f"pos div {RUN}")
+        before = F.lag("sym").over(Window.partitionBy("seq_id", "_b").orderBy("pos"))
+        lasts = seq.filter(F.col("pos") % RUN == RUN - 1).select("seq_id", (bucket + 1).alias("_b"), F.col("sym").alias("_last"))
+        placed = seq.withColumn("_b", bucket).withColumn("_before", before).join(lasts, ["seq_id", "_b"], "left")
+        checked = placed.withColumn("_before", F.coalesce("_before", "_last")).select("seq_id", F.when(F.col("_before") >= F.col("sym"), F.raise_error(F.lit("not strictly increasing")).cast("bigint")).otherwise(F.col("sym")).alias("pos"))
         return cls(checked, checked.groupBy("seq_id").agg((F.max("pos") + 1).alias("n_bits")), with_select0)
 
     def select(self, queries: DataFrame, bit: int = 1) -> DataFrame:

@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.plans.prefix import prefix_count
+from seqloom.plans.prefix import BUCKET as INDEX_BUCKET
+from seqloom.plans.prefix import StoredIndex, prefix_count
 
 BUCKET = 1024
+#: Queries that are joined with one bucket in one task.
+BATCH = 4096
 
 
 def frequencies(seq: DataFrame) -> DataFrame:
@@ -50,16 +53,22 @@ def _edges(q: DataFrame, low: str, high: str, by: int):
     return q.filter("_a < _b").withColumns({"f": F.col("_a"), "t": F.col("_b")}), rest
 
 
-def occs_range_batch(seq: DataFrame, queries: DataFrame, meta: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def occs_range_batch(seq: DataFrame, queries: DataFrame, meta: DataFrame, bucket: int = BUCKET, index: StoredIndex | None = None) -> DataFrame:
     """qid, sym, cnt for symbols present in each valid range.
 
     A range is full superbuckets, full buckets and two edges, so a query touches at most about
-    four times ``bucket`` partial rows whatever its length; every join is on sequence and bucket.
+    four times ``bucket`` partial rows whatever its length; every join is on sequence and bucket, and a
+    bucket that over ``BATCH`` of queries meet is dealt to several tasks. With an index its counts and its bucket size are used.
     """
+    bucket = INDEX_BUCKET if index else bucket
     ok = range_status(queries, meta).filter("ok").drop("ok")
     rows = seq.select("seq_id", F.expr(f"pos div {bucket}").alias("u"), F.col("pos").alias("at"), "sym")
     counts = rows.groupBy("seq_id", F.col("u").alias("at"), "sym").agg(F.count(F.lit(1)).alias("c")).withColumn("u", F.expr(f"at div {bucket}"))
     supers = counts.groupBy("seq_id", F.col("u").alias("at"), "sym").agg(F.sum("c").alias("c"))
+    if index:
+        counts, supers = index.stored
+        counts = counts.select("seq_id", F.col("_p1").alias("at"), "sym", F.col("_w1").alias("c"), F.col("_p2").alias("u"))
+        supers = supers.select("seq_id", F.col("_p2").alias("at"), "sym", F.col("_w2").alias("c"))
     full, raw = _edges(ok, "l", "r", bucket)
     full = full.select("qid", "seq_id", F.col("f").alias("l"), F.col("t").alias("r"))
     whole, some = _edges(full, "l", "r", bucket)
@@ -67,7 +76,11 @@ def occs_range_batch(seq: DataFrame, queries: DataFrame, meta: DataFrame, bucket
     def edge(parts: DataFrame, data: DataFrame, weight):
         """Parts span at most two buckets each."""
         spread = parts.select("qid", "seq_id", "f", "t", F.explode(F.expr(f"sequence(f div {bucket}, (t - 1) div {bucket})")).alias("u"))
-        return spread.join(data, ["seq_id", "u"]).filter("at >= f and at < t").groupBy("qid", "sym").agg(F.sum(weight).alias("cnt"))
+        pieces = F.pmod(F.xxhash64("qid"), F.expr(f"(most + {BATCH - 1}) div {BATCH}"))  # of the queries that meet in a bucket
+        met = spread.groupBy("seq_id", "u").agg(F.count(F.lit(1)).alias("most"))
+        asked = spread.join(met, ["seq_id", "u"]).withColumn("piece", pieces).drop("most")
+        held = data.join(met, ["seq_id", "u"]).withColumn("piece", F.explode(F.expr(f"sequence(0L, (most - 1) div {BATCH})"))).drop("most")
+        return asked.join(held, ["seq_id", "u", "piece"]).filter("at >= f and at < t").groupBy("qid", "sym").agg(F.sum(weight).alias("cnt"))
 
     spread = whole.select("qid", "seq_id", F.explode(F.expr("sequence(f, t - 1)")).alias("at"))
     parts = [spread.join(supers, ["seq_id", "at"]).groupBy("qid", "sym").agg(F.sum("c").alias("cnt")), edge(some, counts, F.col("c")), edge(raw, rows, F.lit(1).cast("bigint"))]

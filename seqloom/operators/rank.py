@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.ranges import frequencies
-from seqloom.plans.prefix import PLANS
+from seqloom.plans.prefix import PLANS, StoredIndex, prefix_count
 
 KEYS = ["seq_id", "sym"]
 
@@ -17,16 +17,19 @@ def _bounded(found: DataFrame, meta: DataFrame, value: Column, most: str = "sigm
     return found.join(m, "seq_id", "left").select("qid", F.when(ok, value).alias("rank"))
 
 
-def rank(seq: DataFrame, queries: DataFrame, meta: DataFrame, huffman: bool = False, plan: str = "bucketed", most: str = "sigma") -> DataFrame:
+def rank(seq: DataFrame, queries: DataFrame, meta: DataFrame, huffman: bool = False, plan: str = "bucketed", most: str = "sigma", index: StoredIndex | None = None) -> DataFrame:
     """queries (qid, seq_id, sym, i) to (qid, rank).
 
     NULL if i is beyond the length or the symbol beyond the largest one; a symbol that does not
-    occur has rank 0 in plain sequences and NULL in Huffman ones.
+    occur has rank 0 in plain sequences and NULL in Huffman ones. With an index only the buckets that queries fall into are read.
     """
-    found = PLANS[plan](queries, seq, KEYS)
+    if index:
+        found = prefix_count(queries, index.data(queries), KEYS, stored=index.counted(queries))
+    else:
+        found = PLANS[plan](queries, seq, KEYS)
     value = F.col("r")
     if huffman:
-        found = found.join(frequencies(seq), KEYS, "left")
+        found = found.join(index.frequencies() if index else frequencies(seq), KEYS, "left")
         value = F.when(F.col("cnt").isNotNull(), value)
     return _bounded(found, meta, value, most)
 

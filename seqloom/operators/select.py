@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from seqloom.plans.prefix import occurrence_index
+from seqloom.plans.prefix import StoredIndex, prefix_select
 
+KEYS = ["seq_id", "sym"]
 
-def select(seq: DataFrame, queries: DataFrame) -> DataFrame:
+
+def select(seq: DataFrame, queries: DataFrame, index: StoredIndex | None = None) -> DataFrame:
     """queries (qid, seq_id, sym, k) to (qid, pos); NULL where there is no such occurrence."""
-    indexed = occurrence_index(seq.select("seq_id", "sym", "pos"), ["seq_id", "sym"])
-    return queries.join(indexed, ["seq_id", "sym", "k"], "left").select("qid", "pos")
+    return prefix_select(queries, seq, KEYS, index=index).select("qid", "pos")

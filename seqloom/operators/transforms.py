@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.words import digit, n_digits
 from seqloom.operators.ranges import frequencies
-from seqloom.plans.prefix import occurrence_index
+from seqloom.plans.prefix import dense_positions, occurrence_index, prefix_count
+from seqloom.sources.scratch import scratch
 
 
 def alphabet(df: DataFrame, sym: str) -> DataFrame:
-    """Each distinct value and its rank among them, ``code``, from 0. The window runs over distinct values only."""
-    return df.select(sym).filter(F.col(sym).isNotNull()).distinct().select(sym, (F.dense_rank().over(Window.orderBy(sym)) - 1).cast("bigint").alias("code"))
+    """Each distinct value and its rank among them, ``code``, from 0, by ranges of values: no window over the alphabet."""
+    return dense_positions(df.select(sym).filter(F.col(sym).isNotNull()).distinct(), [sym], "code").select(sym, F.col("code").cast("bigint").alias("code"))
 
 
 def text_remap(df: DataFrame, sym: str, out: str = "code") -> DataFrame:
@@ -43,31 +44,48 @@ def partition_of_2(seq: DataFrame, shift: int = 0) -> DataFrame:
 
 
 def partition_with_codes(seq: DataFrame, codes: DataFrame, shift: int, bits: int = 2) -> DataFrame:
-    """Stable partition by the code's digit ``shift`` bits from its start; finished codes go last."""
+    """Stable partition by the code's digit that ends ``shift`` bits from its start; codes that end there or before go last."""
     coded = seq.join(codes, ["seq_id", "sym"])
-    left = (F.col("len") - shift - bits).cast("int")
-    key = F.when(F.col("len") <= shift, F.lit(1 << bits).cast("bigint")).otherwise(F.call_function("shiftright", F.col("content"), left).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")))
-    return _stable(coded, key)
+    own = F.call_function("shiftright", F.col("content"), (F.col("len") - shift).cast("int")).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+    return _stable(coded, F.when(F.col("len") <= shift, F.lit(1 << bits).cast("bigint")).otherwise(own))
+
+
+def _level_places(nodes: DataFrame) -> DataFrame:
+    """seq_id, level, pos, digit of rows (seq_id, level, pos, node, digit): nodes in order, and in each as in the sequence.
+
+    A row's place is the counts of smaller nodes, themselves counted by buckets of nodes, plus its index in its own node.
+    """
+    keys = ["seq_id", "level"]
+    nodes = scratch(nodes, "nodes")
+    indexed = occurrence_index(nodes, [*keys, "node"], out="_k")
+    counts = nodes.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = prefix_count(counts.select(*keys, "node"), counts, keys, at="node", pos="node", out="_off", weight="_c")
+    return indexed.join(offsets, [*keys, "node"]).select(*keys, (F.col("_k") + F.col("_off")).alias("pos"), "digit")
+
+
+def _backwards(value: str, lowest: str, bits: int) -> Column:
+    """The ``level`` digits of ``value`` from bit ``lowest`` up as one number, the lowest of them its first digit."""
+    mask = (1 << bits) - 1
+    return F.expr(f"aggregate(sequence(0L, 63L div {bits}), 0L, (a, j) -> case when j < level then (a << {bits}) | (shiftright({value}, cast({lowest} + {bits} * j as int)) & {mask}) else a end)")
 
 
 def levels(seq: DataFrame, bits: int = 2) -> DataFrame:
     """seq_id, level, pos, digit: the content of every level, the most significant digit first.
 
     At a level, symbols stand ordered by their digits above it, the nearest first, and then as in the
-    sequence. So a symbol's node is the string of those digits backwards; its place is the counts of
-    smaller nodes plus its index in its own, which needs no window over a level.
+    sequence. So a symbol's node is the string of those digits backwards.
     """
     sizes = seq.groupBy("seq_id").agg(n_digits(F.max("sym"), bits).alias("n_levels"))
     each = seq.join(sizes, "seq_id").withColumn("level", F.explode(F.expr("sequence(0L, n_levels - 1)")))
-    at = f"cast({bits} * (n_levels - 1 - level) as int)"
-    own = F.expr(f"shiftright(sym, {at}) & {(1 << bits) - 1}")
-    backwards = F.expr(f"aggregate(sequence(0L, 63L div {bits}), 0L, (a, j) -> case when j < level then (a << {bits}) | (shiftright(sym, cast({bits} * (n_levels - level + j) as int)) & {(1 << bits) - 1}) else a end)")
-    nodes = each.select("seq_id", "level", "pos", own.alias("digit"), backwards.alias("node"))
-    indexed = occurrence_index(nodes, ["seq_id", "level", "node"], out="_k")
-    counts = nodes.groupBy("seq_id", "level", "node").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy("seq_id", "level").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("seq_id", "level", "node", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    return indexed.join(offsets, ["seq_id", "level", "node"]).select("seq_id", "level", (F.col("_k") + F.col("_off")).alias("pos"), "digit")
+    own = F.expr(f"shiftright(sym, cast({bits} * (n_levels - 1 - level) as int)) & {(1 << bits) - 1}")
+    return _level_places(each.select("seq_id", "level", "pos", own.alias("digit"), _backwards("sym", f"{bits} * (n_levels - level)", bits).alias("node")))
+
+
+def code_levels(seq: DataFrame, codes: DataFrame, bits: int = 2) -> DataFrame:
+    """The same of the codes of symbols: a level holds those symbols whose codes reach it."""
+    coded = seq.join(codes, ["seq_id", "sym"]).withColumn("level", F.explode(F.expr(f"sequence(0L, len div {bits} - 1)")))
+    own = F.expr(f"shiftright(content, cast(len - {bits} * (level + 1) as int)) & {(1 << bits) - 1}")
+    return _level_places(coded.select("seq_id", "level", "pos", own.alias("digit"), _backwards("content", f"len - {bits} * level", bits).alias("node")))
 
 
 def huffman_lengths(weights: dict[int, int], arity: int) -> dict[int, int]:
@@ -113,18 +131,22 @@ def assign_codes(lengths: dict[int, int], bits: int) -> dict[int, tuple[int, int
 
 
 def codes(seq: DataFrame, bits: int = 2, most_symbols: int = 1 << 20) -> DataFrame:
-    """seq_id, sym, len, content. The frequencies of one sequence's alphabet are gathered on the driver.
+    """seq_id, sym, len, content: one task a sequence builds its codes from its frequencies.
 
-    An alphabet of over ``most_symbols`` symbols (all sequences together) is refused rather than collected.
+    One sequence's alphabet must fit a task: over ``most_symbols`` are an error when rows are computed. Codes take 63 bits at most.
     """
-    rows = frequencies(seq).limit(most_symbols + 1).collect()
-    if len(rows) > most_symbols:
-        raise ValueError(f"over {most_symbols} symbols; codes are built on the driver")
-    by: dict[int, dict[int, int]] = {}
-    for r in rows:
-        by.setdefault(r["seq_id"], {})[r["sym"]] = r["cnt"]
-    out = [(q, s, n, c) for q, w in by.items() for s, (n, c) in assign_codes(huffman_lengths(w, 1 << bits), bits).items()]
-    return seq.sparkSession.createDataFrame(out, "seq_id bigint, sym bigint, len int, content bigint")
+    import pandas as pd
+
+    def made(rows: pd.DataFrame) -> pd.DataFrame:
+        table = assign_codes(huffman_lengths(dict(zip(rows["sym"].tolist(), rows["cnt"].tolist(), strict=True)), 1 << bits), bits)
+        if max(n for n, _ in table.values()) > 63:
+            raise ValueError("a code of over 63 bits")
+        return pd.DataFrame({"seq_id": rows["seq_id"].iloc[0], "sym": list(table), "len": [n for n, _ in table.values()], "content": [c for _, c in table.values()]})
+
+    counted = frequencies(seq)
+    sizes = counted.groupBy("seq_id").agg(F.count(F.lit(1)).alias("_n"))
+    fits = F.when(F.col("_n") <= most_symbols, F.col("sym")).otherwise(F.raise_error(F.lit(f"over {most_symbols} symbols in one sequence")).cast("bigint"))
+    return counted.join(sizes, "seq_id").select("seq_id", fits.alias("sym"), "cnt").groupBy("seq_id").applyInPandas(made, "seq_id bigint, sym bigint, len int, content bigint")
 
 
 def decode(coded: DataFrame, code_table: DataFrame) -> DataFrame:
