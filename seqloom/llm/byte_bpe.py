@@ -255,14 +255,19 @@ def prefix_encoder(ranks_path: str) -> PrefixEncoder:
     return PrefixEncoder(load_ranks(ranks_path))
 
 
+def one_match(word: str) -> bool:
+    """Letters only, perhaps behind a space: the pattern takes such a word whole."""
+    return word[1:].isalpha() and (word[0] == " " or word[0].isalpha())
+
+
 @lru_cache(maxsize=2)
 def id_words(ranks_path: str) -> Words:
     """word -> its ids by prefix dynamic programming, of each match of the pattern in it."""
     enc, find = prefix_encoder(ranks_path), pattern().findall
     matches = Words(lambda m: enc.encode(m.encode("utf-8", "replace")))
-    
+
     def made(word: str) -> list[int]:
-        if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):  # one match
+        if one_match(word):
             return matches[word]
         return [t for m in find(word) for t in matches[m]]
 

@@ -22,8 +22,31 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 @lru_cache(maxsize=2)
-def _decimals(ranks_path: str) -> dict[int, str]:
-    return {i: str(i) for i in byte_bpe.load_ranks(ranks_path).values()}
+def _parts(ranks_path: str) -> byte_bpe.Words:
+    """word -> number of ids, their decimals each behind a space, and the decoded bytes."""
+    enc, find = byte_bpe.prefix_encoder(ranks_path), byte_bpe.pattern().findall
+
+    def parts(word: str) -> tuple[int, bytes, bytes]:
+        matches = [word] if byte_bpe.one_match(word) else find(word)
+        if not matches:
+            return 0, b"", b""
+        if len(matches) > 1:
+            counts, ids, decoded = zip(*map(words.__getitem__, matches), strict=True)
+            return sum(counts), b"".join(ids), b"".join(decoded)
+        ids = enc.encode(word.encode("utf-8", "replace"))
+        return len(ids), b" %d" * len(ids) % tuple(ids), enc.decode(ids)
+
+    words = byte_bpe.Words(parts)
+    return words
+
+
+def digested(text: str | None, ranks_path: str) -> tuple[int, bytes, bytes]:
+    """Number of ids of a whole text, their decimals joined by spaces, and the bytes that they decode to."""
+    found = list(map(_parts(ranks_path).__getitem__, byte_bpe.chunks(common.text_of(text))))
+    if not found:
+        return 0, b"", b""
+    counts, ids, decoded = zip(*found, strict=True)
+    return sum(counts), b"".join(ids)[1:], b"".join(decoded)
 
 
 def encode_text(text: str | None, ranks_path: str) -> list[int]:
@@ -46,19 +69,21 @@ def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", ranks_path: str
 
 
 def digests(df: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """Encode and decode in one pass over the texts, so that ids never leave the worker."""
+    """Encode and decode in one pass over the texts, so that ids never leave the worker.
+
+    What a word adds to a digest is kept with the word: its number of ids, their decimals, and the bytes that they decode to.
+    """
     path = ranks_path or public_tokenizers.path(RANKS)
     kinds = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     schema = T.StructType([df.schema["doc_id"], *(T.StructField(n, t) for n, t in kinds)])
 
     def made(keys, texts):
-        decimal, enc = _decimals(path), byte_bpe.prefix_encoder(path)
         n, sha, back = [], [], []
         for t in texts:
-            ids = encode_text(t, path)
-            n.append(len(ids))
-            sha.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-            back.append(hashlib.sha256(enc.decode(ids)).hexdigest())
+            count, ids, decoded = digested(t, path)
+            n.append(count)
+            sha.append(hashlib.sha256(ids).hexdigest())
+            back.append(hashlib.sha256(decoded).hexdigest())
         return keys, n, sha, back
 
     return common.map_columns(df, ["doc_id", "text"], schema, made)
