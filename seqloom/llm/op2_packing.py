@@ -4,11 +4,14 @@
    ``limit`` ids, the first of which may be shorter. What is left of a document after its full
    pieces is its first piece.
 2. Pieces go to partitions of about ``per_partition`` rows by a hash. Each partition runs best-fit
-   decreasing and computes lower bounds by dual-feasible functions. Where the bound meets the
-   number of bins, the partition is certified and done.
+   decreasing and computes lower bounds by dual-feasible functions, in every round and at every size. Where the
+   bound meets the number of bins, the partition is certified and done.
 3. Of a partition with a gap, full bins stay; documents in bins with room are exchanged: they
    go to new partitions with those of other partitions, where best-fit decreasing runs again.
-   After ``rounds`` rounds all bins stay.
+   After ``rounds`` rounds, or where a single partition is left, all bins stay.
+
+Each piece says with what it was packed last: ``partition_bins`` and ``partition_bound`` of that partition, and
+``certified``, whether no packing of it needs fewer bins; a gap that rounds left over is there to be read.
 
 A null text is the empty text (only the end id). Repeated rows are packed as often as they occur,
 a null ``doc_id`` stays null; an empty table gives no rows. Only ``doc_id`` and ``text`` are read.
@@ -117,11 +120,12 @@ def _deal(df: DataFrame, n: int, seed: int) -> DataFrame:
 
 
 def _packed(rows: DataFrame, limit: int, last: bool, base: int) -> DataFrame:
-    """Best-fit decreasing in each partition: bin, offset, and whether the row stays."""
+    """Best-fit decreasing in each partition: bin, offset, the partition's bins and bound, and whether the row stays."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("stays", T.BooleanType())])
+    names = ["row", "length", "sequence_id", "offset", "partition_bins", "partition_bound"]
+    schema = T.StructType([*(T.StructField(n, T.LongType()) for n in names), T.StructField("certified", T.BooleanType()), T.StructField("stays", T.BooleanType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -138,16 +142,18 @@ def _packed(rows: DataFrame, limit: int, last: bool, base: int) -> DataFrame:
             mine = lengths[a:z].tolist()
             placed = np.array(best_fit_decreasing(mine, limit), dtype=np.int64).reshape(-1, 2)
             used = np.bincount(placed[:, 0], weights=mine).astype(np.int64)
-            certified = last or len(used) == lower_bound(mine, limit)
-            stays = np.ones(z - a, dtype=bool) if certified else used[placed[:, 0]] == limit
+            bound = lower_bound(mine, limit)
+            certified, every = len(used) == bound, np.ones(z - a, dtype=np.int64)
+            stays = every > 0 if certified or last else used[placed[:, 0]] == limit
             ids = base + (int(parts[a]) << 24) + placed[:, 0]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[a:z]), pa.array(ids), pa.array(placed[:, 1]), pa.array(stays)], schema=arrow)
+            columns = [rows[a:z], lengths[a:z], ids, placed[:, 1], every * len(used), every * bound, (every > 0) & certified, stays]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     return rows.select("part", "row", "length").mapInArrow(run, schema)
 
 
 def pack(piece_rows: DataFrame, limit: int = LIMIT, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
-    """``piece_rows`` with sequence_id and offset.
+    """``piece_rows`` with sequence_id, offset, partition_bins, partition_bound and certified.
 
     ``per_partition`` bounds the rows that a task holds (three integers each), at any input size.
     Row numbers make repeated rows distinct; they are stored before they are used.
@@ -161,11 +167,11 @@ def pack(piece_rows: DataFrame, limit: int = LIMIT, per_partition: int = PER_PAR
         parts = max(1, -(-n // per_partition))
         last = k == rounds - 1 or parts == 1
         step = common.scratch(_packed(_deal(todo, parts, k), limit, last, k << 56), "packed")
-        kept = step.filter("stays").drop("stays")
+        kept = step.filter("stays").drop("stays", "length")
         done = kept if done is None else done.unionByName(kept)
         if last:
             break
-        todo = step.filter("not stays").select("row").join(stored.select("row", "length"), "row")
+        todo = step.filter("not stays").select("row", "length")
     return stored.join(done, "row").drop("row")
 
 

@@ -12,7 +12,6 @@ def ids_of(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -48,6 +47,18 @@ def test_pieces_and_places(spark):
         assert sorted(parts) == sorted(want * times)
 
 
+def test_a_single_partition_has_its_certificate_too(spark):
+    docs = documents(spark, [prose("en", 20, i) for i in range(60)], clashes=False)
+    rows = op.pack(op.pieces(docs, limit=100), limit=100).collect()
+    lengths, bins = [r["length"] for r in rows], len({r["sequence_id"] for r in rows})
+    assert {(r["partition_bins"], r["partition_bound"], r["certified"]) for r in rows} == {(bins, op.lower_bound(lengths, 100), bins == op.lower_bound(lengths, 100))}
+
+
+def test_equal_lengths_keep_the_order_of_rows():
+    placed = op.best_fit_decreasing([5, 5, 5, 5, 3, 3], 10)
+    assert placed == [(0, 0), (0, 5), (1, 0), (1, 5), (2, 0), (2, 3)]
+
+
 def test_packing_of_nothing(spark):
     assert op.pack(op.pieces(none_of(documents(spark)))).count() == 0
 
@@ -59,6 +70,8 @@ def test_partitions_exchange_and_lose_nothing(spark):
     rows = op.pack(pieces, limit=100, per_partition=60).collect()
     by = check_sequences(rows, 100)
     assert len(rows) == pieces.count()
+    for r in rows:
+        assert r["partition_bound"] <= r["partition_bins"] and r["certified"] == (r["partition_bound"] == r["partition_bins"])
     lengths = [r["length"] for r in rows]
     together = len({b for b, _ in op.best_fit_decreasing(lengths, 100)})
     partitions = -(-len(rows) // 60)
