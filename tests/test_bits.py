@@ -26,7 +26,7 @@ def test_reading(spark):
 
 
 def test_scans_from_a_place(spark):
-    b = ones(spark, [0, 63, 128, 129, 254, 1026])
+    b = ones(spark, [0, 63, 128, 129, 254, 1026])  # fixed values: known answers, FIXTURES.md F22
     for start, want in ((2, [63, 128, 129, 254, 1026]), (129, [129, 254, 1026]), (130, [254, 1026]), (1027, [])):
         assert positions(b.ones(start)) == want
     assert positions(b.zeros()) == [i for i in range(1027) if i not in (0, 63, 128, 129, 254, 1026)]
@@ -34,7 +34,7 @@ def test_scans_from_a_place(spark):
 
 
 def test_select_and_rank(spark):
-    at = [3, 5, 8, 128, 129, 513, 1000, 1024, 1025]
+    at = [3, 5, 8, 128, 129, 513, 1000, 1024, 1025]  # fixed values: known answers, FIXTURES.md F23
     b = ones(spark, at)
     assert answers(b.select(ask(spark, "bit", [0, 1, 2, 3, 4, 5, 8, 9])), "pos") == [3, 5, 8, 128, 129, 513, 1025, None]
     assert answers(b.select(ask(spark, "bit", [0, 1, 2, 3, 124, 125, 1016, 1017]), 0), "pos") == [0, 1, 2, 4, 127, 130, 1023, None]

@@ -5,7 +5,7 @@ from helpers import answers, ask, rank_of, values
 from seqloom.model import QuadSequence, Sequence
 from seqloom.operators import ranges, transforms
 
-F1 = [1, 0, 1, 0, 2, 4, 5, 3]
+F1 = [1, 0, 1, 0, 2, 4, 5, 3]  # fixed values: the documented example, FIXTURES.md F1
 F4 = [1, 0, 1, 0, 3, 4, 5, 3, 7]
 
 
