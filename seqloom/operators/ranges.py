@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.plans.prefix import BUCKET as INDEX_BUCKET
 from seqloom.plans.prefix import StoredIndex, prefix_count
+from seqloom.plans.sizes import is_small
 
 BUCKET = 1024
 #: Queries that are joined with one bucket in one task.
@@ -57,9 +58,10 @@ def occs_range_batch(seq: DataFrame, queries: DataFrame, meta: DataFrame, bucket
     """qid, sym, cnt for symbols present in each valid range.
 
     A range is full superbuckets, full buckets and two edges, so a query touches at most about
-    four times ``bucket`` partial rows whatever its length; every join is on sequence and bucket, and a
-    bucket that over ``BATCH`` of queries meet is dealt to several tasks. With an index its counts and its bucket size are used.
+    four times ``bucket`` partial rows whatever its length; every join is on sequence and bucket. Where queries are too many to be
+    broadcast, a bucket that over ``BATCH`` of them meet is dealt to several tasks. With an index its counts and its bucket size are used.
     """
+    small = is_small(queries)
     bucket = INDEX_BUCKET if index else bucket
     ok = range_status(queries, meta).filter("ok").drop("ok")
     rows = seq.select("seq_id", F.expr(f"pos div {bucket}").alias("u"), F.col("pos").alias("at"), "sym")
@@ -76,6 +78,8 @@ def occs_range_batch(seq: DataFrame, queries: DataFrame, meta: DataFrame, bucket
     def edge(parts: DataFrame, data: DataFrame, weight):
         """Parts span at most two buckets each."""
         spread = parts.select("qid", "seq_id", "f", "t", F.explode(F.expr(f"sequence(f div {bucket}, (t - 1) div {bucket})")).alias("u"))
+        if small:  # at most so many queries meet in one bucket
+            return spread.join(data, ["seq_id", "u"]).filter("at >= f and at < t").groupBy("qid", "sym").agg(F.sum(weight).alias("cnt"))
         pieces = F.pmod(F.xxhash64("qid"), F.expr(f"(most + {BATCH - 1}) div {BATCH}"))  # of the queries that meet in a bucket
         met = spread.groupBy("seq_id", "u").agg(F.count(F.lit(1)).alias("most"))
         asked = spread.join(met, ["seq_id", "u"]).withColumn("piece", pieces).drop("most")

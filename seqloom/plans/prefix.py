@@ -146,7 +146,7 @@ class StoredIndex:
 
     @staticmethod
     def _part(parts: int, *columns: str):
-        return F.pmod(F.xxhash64(*columns), F.lit(parts)).cast("int").alias("part")
+        return F.pmod(F.xxhash64(*(F.col(c).cast("bigint") for c in columns)), F.lit(parts)).cast("int").alias("part")
 
     @classmethod
     def build(cls, seq: DataFrame, path: str, parts: int | None = None) -> StoredIndex:

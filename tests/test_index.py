@@ -8,7 +8,7 @@ from helpers import answers, ask, rank_of, values
 from pyspark.sql import functions as F
 
 from seqloom.model import Sequence
-from seqloom.operators import transforms
+from seqloom.operators import ranges, transforms
 from seqloom.operators.bits import RUN, BitSequence, SortedSet
 from seqloom.plans import prefix
 from seqloom.plans.prefix import StoredIndex
@@ -173,6 +173,18 @@ def test_weighted_counts_and_selects_over_buckets(spark):
     assert found == [None, *rows, None, None, None, None, None]
 
 
+def test_ranges_that_meet_in_one_bucket_are_dealt_out(spark, monkeypatch):
+    r = random.Random(3)
+    data = [r.randrange(5) for _ in range(3000)]
+    asked = [(a, min(3000, a + r.randrange(1500))) for a in (r.randrange(100) for _ in range(60))]
+    q, want = ask(spark, "range", asked), sorted((i, c, sum(x == c for x in data[a:z])) for i, (a, z) in enumerate(asked) for c in {*data[a:z]})
+    monkeypatch.setattr(ranges, "BATCH", 7)
+    for small in (True, False):
+        monkeypatch.setattr(ranges, "is_small", lambda _, small=small: small)
+        got = Sequence(values(spark, data)).occs_range_batch(q).collect()
+        assert sorted((x["qid"], x["sym"], x["cnt"]) for x in got) == want
+
+
 def test_select_in_sql(spark):
     Sequence(values(spark, [4, 1, 4, 4])).register("s_four")
     assert [spark.sql(f"SELECT * FROM s_four_select(4, {k})").collect() for k in range(4)] == [[(0,)], [(2,)], [(3,)], []]
