@@ -5,7 +5,7 @@ context limit at which an answer can change, how many documents are longer, how
 kept when each document is cut at the limit, and which quantile the limit is. The histogram has
 one row for each length that occurs; suffix sums run in blocks of lengths, each block's own rows in
 one window, so no task takes all lengths. Null texts count as empty texts (length 0); an empty
-table gives an empty histogram. Only ``text`` is read.
+table gives an empty histogram. Only ``doc_id`` (its values do not matter) and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from seqloom.llm import byte_bpe, common
 
 #: Lengths in a block of the suffix sums.
-BLOCK = 1024
+BLOCK = 64
 
 
 def encoded_lengths(df: DataFrame, keep: list[str], ranks_path: str | None = None, json_path: str | None = None) -> DataFrame:
