@@ -7,6 +7,7 @@ each stage returns as Parquet into the shared folder and reads it back for the n
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,11 +31,20 @@ FILE, ROW = "__file_of_row", "__place_in_file"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``FILE`` and ``ROW``, a hash of a row's file and its place there: they tell even equal rows apart."""
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        docs = common.scratch(docs, "docs")
-    file = docs.metadataColumn("_metadata")
-    return docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.xxhash64(file["file_path"]).alias(FILE), file["row_index"].alias(ROW))
+    """``docs`` with ``FILE`` and ``ROW``, a hash of a row's file and its place there: they tell even equal rows apart.
+
+    What is not a Parquet table as it was read is stored first.
+    """
+    def placed(df: DataFrame) -> DataFrame:
+        file = df.metadataColumn("_metadata")
+        return df.select(*(F.col(f"`{c}`") for c in df.columns), F.xxhash64(file["file_path"]).alias(FILE), file["row_index"].alias(ROW))
+
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return placed(docs)
+        except AnalysisException:  # a table of another kind has no such places
+            pass
+    return placed(common.scratch(docs, "docs"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

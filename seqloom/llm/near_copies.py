@@ -140,11 +140,12 @@ def _print_links(known: DataFrame) -> DataFrame:
 
 def _met(known: DataFrame) -> DataFrame:
     """band, node and the node of the group that it is compared with, for groups of two or more nodes."""
-    each = known.filter("bands is not null").select("node", F.explode("bands").alias("band")).dropDuplicates(["band", "node"])
+    each = known.filter("bands is not null").select("node", F.explode("bands").alias("band"))
     order = Window.partitionBy("band").orderBy("node")
-    ranked = each.withColumn("rank", F.row_number().over(order) - 1).withColumn("least", F.first("node").over(order))
+    ranked = each.select("band", "node", (F.dense_rank().over(order) - 1).alias("rank"), F.first("node").over(order).alias("least"), F.lag("node").over(order).alias("before"))
     seen = ranked.withColumn("first", F.last(F.when(F.col("rank") % BLOCK == 0, F.col("node")), ignorenulls=True).over(order))
-    return seen.withColumn("with", F.when(F.col("node") == F.col("first"), F.col("least")).otherwise(F.col("first"))).filter("node <> with").select("band", "node", "with")
+    fresh = seen.filter("before is null or before <> node")  # several tasks may have met a node
+    return fresh.withColumn("with", F.when(F.col("node") == F.col("first"), F.col("least")).otherwise(F.col("first"))).filter("node <> with").select("band", "node", "with")
 
 
 def _rooted(df: DataFrame, roots: DataFrame, column: str, out: str) -> DataFrame:
@@ -157,7 +158,7 @@ def _sets(rows: DataFrame, known: DataFrame, needed: DataFrame) -> DataFrame:
     """node and found (its set, as bytes) of the nodes in ``needed``, once each."""
     import pyarrow as pa
 
-    one = common.scratch(known.join(needed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("a", "b")).alias("at")).select("at.a", "at.b"), "needed")
+    one = common.scratch(known.groupBy("node").agg(F.min(F.struct("a", "b")).alias("at")).join(needed.select("node").distinct(), "node", "left_semi").select("at.a", "at.b"), "needed")
     texts = rows.select("a", "b", "text").join(F.broadcast(one) if one.count() <= FEW else one, ["a", "b"], "left_semi").select("text")
     schema = "node bigint, found array<bigint>"
     arrow = _arrow(schema)

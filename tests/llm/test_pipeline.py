@@ -68,3 +68,14 @@ def test_null_ids_and_one_id_with_two_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert sorted(left, key=str) == sorted([(None, a), (None, b), (5, c), (1, d), (1, e)], key=str)
+
+
+def test_rows_are_told_apart_in_tables_of_any_kind(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "m"), (1, "a", "m"), (2, "b", "m")], "doc_id bigint, text string, _metadata string").repartition(1)
+    rows.write.parquet(str(tmp_path / "p"))
+    rows.write.csv(str(tmp_path / "c"))
+    files = [spark.read.parquet(str(tmp_path / "p")), spark.read.schema(rows.schema).csv(str(tmp_path / "c")), rows, rows.unionByName(rows)]
+    for df, n in zip(files, (3, 3, 3, 6), strict=True):
+        got = corpus_pipeline.numbered(df)
+        assert got.columns == [*rows.columns, corpus_pipeline.FILE, corpus_pipeline.ROW]
+        assert got.select(corpus_pipeline.FILE, corpus_pipeline.ROW).distinct().count() == n == got.count()
