@@ -29,8 +29,10 @@ from seqloom.llm import common, ziparchive
 LEAST_BYTES = 1000
 #: Compressed records in an archive; it bounds what a task holds.
 ARCHIVE_BYTES = 4 << 20
-#: Rows (of digest and id) up to which the originals are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 50_000
+#: Rows (of digest and id) up to which the originals are broadcast; beyond it they are joined by a shuffle, hot digests apart.
+BROADCAST_ROWS = 200_000
+#: Records that a task returns at once.
+RECORDS = 256
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
@@ -117,9 +119,11 @@ def _planned(pages: DataFrame) -> DataFrame:
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     groups = rows.filter(F.octet_length("payload") >= LEAST_BYTES).groupBy("digest").agg(F.max("page_id").alias("original"), F.count(F.lit(1)).alias("n"))
-    originals = common.scratch(groups.filter("n > 1 and original is not null").select("digest", "original"), "originals")
-    few = originals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(originals) if few else originals, "digest", "left")
+    originals = common.scratch(groups.filter("n > 1 and original is not null").select("digest", "original", "n"), "originals")
+    if originals.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(originals), "digest", "left")
+    else:
+        joined = common.split_join(rows, originals, "digest", pages.count(), "left", counted="n")
     return joined.select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("original")), F.col("original")).alias("refers_to"))
 
 
@@ -146,7 +150,16 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, zip64:
 
 
 def read_archives(archives: DataFrame, payload: bool = False, column: str = "archive") -> DataFrame:
-    """One row a record of each archive in ``column``; archives in files come by ``spark.read.format("binaryFile")``."""
+    """One row a record of each archive in the binary ``column``."""
+    return _read(archives, column, ziparchive.of_bytes, payload)
+
+
+def read_files(files: DataFrame, payload: bool = False, column: str = "path") -> DataFrame:
+    """One row a record of each archive at a URI in ``column``: directories, indexes and records are read by ranges."""
+    return _read(files, column, ziparchive.of_uri, payload)
+
+
+def _read(archives: DataFrame, column: str, opened, payload: bool) -> DataFrame:
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -158,11 +171,14 @@ def read_archives(archives: DataFrame, payload: bool = False, column: str = "arc
         for batch in batches:
             for value in batch.column(0):
                 rows = []
-                for r in records_of(ziparchive.of_bytes(value.as_py())):
+                for r in records_of(opened(value.as_py())):
                     rows.append({n: r[n] for n, _ in kinds})
+                    if len(rows) == RECORDS:
+                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                        rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return archives.select(column).mapInArrow(run, schema)
+    return archives.filter(F.col(column).isNotNull()).select(column).mapInArrow(run, schema)
 
 
 ORACLE_SQL = f"""

@@ -108,14 +108,10 @@ def of_bytes(data: bytes) -> Archive:
     return Archive(lambda at, n: bytes(view[at : at + n]), len(data))
 
 
-def of_file(path: str) -> Archive:
-    """An archive in a local file; only the ranges asked for are read."""
-    import os
+def of_uri(uri: str) -> Archive:
+    """An archive in any store that Arrow's file systems reach (or a local path); only the ranges asked for are read."""
+    from pyarrow import fs
 
-    f = open(path, "rb")  # noqa: SIM115
-
-    def read_at(at: int, n: int) -> bytes:
-        f.seek(at)
-        return f.read(n)
-
-    return Archive(read_at, os.path.getsize(path))
+    where, path = fs.FileSystem.from_uri(uri)
+    f = where.open_input_file(path)
+    return Archive(lambda at, n: bytes(f.read_at(min(n, max(0, f.size() - at)), at)), f.size())

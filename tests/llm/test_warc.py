@@ -100,3 +100,22 @@ def test_a_changed_payload_is_noticed():
         op.parse(raw.replace(b"payload\r\n\r\n", b"pavload\r\n\r\n"))
     for i in (0, 1, 1 << 62, -1, -(1 << 63), None):
         assert op.page_of(op.record_id(i)) == i
+
+
+def test_archives_in_files_are_read_by_ranges(spark, tmp_path):
+    many = [(i, "http://a", f"{i} " * 900) for i in range(700)]
+    raw = op.write_archives(pages(spark, many).coalesce(1), archive_bytes=1 << 20).collect()
+    for i, r in enumerate(raw):
+        (tmp_path / f"{i}.wacz").write_bytes(r["archive"])
+    files = spark.createDataFrame([((tmp_path / f"{i}.wacz").as_uri(),) for i in range(len(raw))] + [(None,)], "path string")
+    got = op.read_files(files, payload=True)
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    assert rows_of(got, *columns) == brute(many)
+    a = ziparchive.of_uri((tmp_path / "0.wacz").as_uri())
+    start, size = a.place(op.DATA)
+    assert a.read_at(start, 2) == b"\x1f\x8b" and a.read_at(a.size - 1, 99) == a.read_at(a.size - 1, 1) and size < a.size
+
+
+def test_nulls_in_a_column_of_archives(spark):
+    none = spark.createDataFrame([(None,)], "archive binary")
+    assert op.read_archives(none).count() == 0
