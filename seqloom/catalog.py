@@ -193,6 +193,11 @@ for _name, _start in (("zeros", 0), ("zeros_from", 777)):
     query(_name, f"WITH {ER} SELECT pos FROM b WHERE NOT bit AND pos >= {_start}")(lambda spark, d, s=_start: ev_err(spark, d).zeros(s).select("pos"))
 
 
+@query("into_iter", f"WITH {OC} SELECT pos, sym FROM s")
+def _(spark, d):
+    return ord_cust(spark, d).extend(builders.from_values(spark, [])).iterate().select("pos", "sym")
+
+
 @query("iter_quads", f"WITH {PR} SELECT pos, sym FROM s")
 def _(spark, d):
     return ord_prio(spark, d).iterate().select("pos", "sym")
@@ -727,3 +732,13 @@ def _(spark, d):
     s = generators.gen_increasing(spark, 3000, 9000)
     ok = SortedSet.from_increasing(s).ones_at.agg(F.sum("pos")).first()[0] > 0  # an error where it is not increasing
     return _holds(spark, s, increasing=F.lit(ok), below_most=(F.min("sym") >= 0) & (F.max("sym") < 9000))
+
+
+@query("timing", "SELECT CAST(3 AS BIGINT) AS runs, true AS ordered")
+def _(spark, d):
+    q = _table(spark, d, "part").count()
+    timing = generators.Timing(q)
+    for _ in range(3):
+        timing.measure(lambda: ev_user(spark, d).frequencies().count())
+    told = timing.summary()
+    return spark.createDataFrame([(len(timing.runs), told["min"] <= told["avg"] <= told["max"])], "runs bigint, ordered boolean")
