@@ -29,7 +29,7 @@ def rank(seq: DataFrame, queries: DataFrame, meta: DataFrame, huffman: bool = Fa
         found = PLANS[plan](queries, seq, KEYS)
     value = F.col("r")
     if huffman:
-        found = found.join(index.frequencies() if index else frequencies(seq), KEYS, "left")
+        found = found.join(index.frequencies(queries) if index else frequencies(seq), KEYS, "left")
         value = F.when(F.col("cnt").isNotNull(), value)
     return _bounded(found, meta, value, most)
 

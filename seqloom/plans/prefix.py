@@ -193,8 +193,10 @@ class StoredIndex:
         asked = self._asked(queries, "seq_id", "sym")
         return tuple(df.filter(asked).drop("part") for df in (self.counts, self.supers))
 
-    def frequencies(self) -> DataFrame:
-        return self.supers.groupBy("seq_id", "sym").agg(F.sum("_w2").alias("cnt"))
+    def frequencies(self, queries: DataFrame | None = None) -> DataFrame:
+        """seq_id, sym and cnt; for a small batch only of folders that hold the queries' symbols."""
+        supers = self.supers if queries is None else self.counted(queries)[1]
+        return supers.groupBy("seq_id", "sym").agg(F.sum("_w2").alias("cnt"))
 
     def meta(self) -> DataFrame:
         return self.supers.groupBy("seq_id").agg(F.sum("_w2").alias("n"), F.max("sym").alias("sigma"))
