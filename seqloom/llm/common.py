@@ -49,7 +49,7 @@ def split_join(rows: DataFrame, table: DataFrame, key: str, total: int, how: str
         hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * HOT_ONE_IN > total).select(key).join(table, key)
     hot = hot.select(F.col(key).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in others))
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
-    dealt = marked.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    dealt = marked.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns).cast(rows.schema[key].dataType)))
     plain = table.select(F.col(key).alias("_key"), F.lit(True).alias("_there"), *(F.col(c).alias(f"_own_{c}") for c in others))
     both = dealt.join(plain, "_key", "left")
     if how == "inner":
