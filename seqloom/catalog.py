@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from seqloom import generators
 from seqloom.functions import words
-from seqloom.model import QuadSequence, Sequence
+from seqloom.model import QuadSequence, Sequence, TextSequence
 from seqloom.operators import ranges, transforms
 from seqloom.operators.bits import BitSequence, SortedSet, negate
 from seqloom.sources import builders
@@ -66,8 +66,8 @@ def ord_prio(spark, d) -> QuadSequence:
     return QuadSequence.of(builders.sequence(_table(spark, d, "orders"), "o_orderkey", F.substring("o_orderpriority", 1, 1).cast("bigint") - 1))
 
 
-def doc_char(spark, d) -> Sequence:
-    return Sequence(builders.from_text(_table(spark, d, "documents"), "text", "doc_id"))
+def doc_char(spark, d) -> TextSequence:
+    return TextSequence.of(_table(spark, d, "documents"), "text", "doc_id")
 
 
 def _parts(spark, d, **columns: str | Column) -> DataFrame:

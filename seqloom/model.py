@@ -161,4 +161,31 @@ class QuadSequence(Sequence):
         return ranges.occs(self.df)
 
 
-__all__ = ["VARIANTS", "QuadSequence", "Sequence", "meta_of", "msb"]
+@dataclass(frozen=True)
+class TextSequence(Sequence):
+    """The characters of ``texts`` (seq_id, text), one sequence a row: ranks are counted in the texts themselves."""
+
+    texts: DataFrame | None = None
+
+    @classmethod
+    def of(cls, df: DataFrame, text: str, seq_id: str) -> TextSequence:
+        texts = df.select(F.col(seq_id).cast("bigint").alias("seq_id"), F.col(text).alias("text"))
+        return cls(builders.from_text(texts, "text", "seq_id"), texts=texts)
+
+    def rank(self, queries: DataFrame, plan: str = "texts") -> DataFrame:
+        if plan != "texts" or self.index or self.huffman:
+            return super().rank(queries, "bucketed" if plan == "texts" else plan)
+        return ranks.rank_in_texts(self.texts, queries)
+
+    def checked(self) -> Sequence:
+        return self._rows().checked()
+
+    def extend(self, more: DataFrame) -> Sequence:
+        return self._rows().extend(more)
+
+    def _rows(self) -> Sequence:
+        """The same without its texts, which other rows would not agree with."""
+        return Sequence(self.df, self.variant, self.index)
+
+
+__all__ = ["VARIANTS", "QuadSequence", "Sequence", "TextSequence", "meta_of", "msb"]

@@ -34,6 +34,23 @@ def rank(seq: DataFrame, queries: DataFrame, meta: DataFrame, huffman: bool = Fa
     return _bounded(found, meta, value, most)
 
 
+def rank_in_texts(texts: DataFrame, queries: DataFrame) -> DataFrame:
+    """The same of characters of texts (seq_id, text): each text is met as a whole by its queries, so it is never dealt by characters.
+
+    Occurrences are the characters that leave the prefix when theirs are taken out. Texts of one seq_id add up, as their rows would.
+    """
+    q = queries.withColumn("_q", F.monotonically_increasing_id())
+    prefix = F.expr("substring(text, 1, cast(greatest(0L, least(i, length(text))) as int))")
+    some = F.expr("sym between 0 and 1114111 and not sym between 55296 and 57343")  # surrogates are no characters
+    character = F.when(some, F.expr("decode(unhex(lpad(hex(sym), 8, '0')), 'UTF-32')"))
+    most = F.ascii(F.array_max(F.split("text", ""))).cast("bigint")  # strings are in the order of code points
+    most = F.when(F.contains(F.col("text"), character), F.col("sym")).otherwise(most)  # only whether it reaches sym is asked
+    gone = F.length(prefix) - F.length(F.replace(prefix, character, F.lit("")))
+    met = q.join(texts.filter("text <> ''"), "seq_id", "left").select(*q.columns, F.length("text").cast("bigint").alias("n"), most.alias("sigma"), F.coalesce(gone, F.lit(0)).cast("bigint").alias("r"))
+    found = met.groupBy(*q.columns).agg(*(f(c).alias(c) for f, c in ((F.sum, "n"), (F.max, "sigma"), (F.sum, "r"))))
+    return found.select("qid", F.when(F.expr("i >= 0 and i <= n and sym >= 0 and sym <= sigma"), F.col("r")).alias("rank"))
+
+
 def rank_block(seq: DataFrame, queries: DataFrame, meta: DataFrame, block: int) -> DataFrame:
     """Rank at the start of the block of 256 or 512 symbols that holds i."""
     q = queries.select("qid", "seq_id", "sym", F.col("i").alias("_i"), F.expr(f"i - i % {block}").alias("i"))
