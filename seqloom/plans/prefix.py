@@ -143,6 +143,8 @@ class StoredIndex:
     supers: DataFrame
 
     PART_ROWS = BUCKET * BUCKET // 4
+    #: Tasks that the counts of one folder and superbucket are dealt to, by symbols: a folder has at most about PART_ROWS of them.
+    PIECES = 16
 
     @staticmethod
     def _part(parts: int, *columns: str):
@@ -156,7 +158,7 @@ class StoredIndex:
         dealt.repartition("part", _div("pos", BUCKET * 16)).sortWithinPartitions("part", "seq_id", "pos").write.partitionBy("part").parquet(f"{path}/rows")
         counts, supers = bucket_counts(rows, ["seq_id", "sym"])
         for name, df, order in (("counts", counts, ["_p1"]), ("supers", supers, ["_p2"])):
-            df.select("*", cls._part(parts, "seq_id", "sym")).repartition("part", "_p2").sortWithinPartitions("part", "seq_id", "sym", *order).write.partitionBy("part").parquet(f"{path}/{name}")
+            df.select("*", cls._part(parts, "seq_id", "sym")).repartition("part", "_p2", F.pmod(F.hash("seq_id", "sym"), F.lit(cls.PIECES))).sortWithinPartitions("part", "seq_id", "sym", *order).write.partitionBy("part").parquet(f"{path}/{name}")
         seq.sparkSession.createDataFrame([(parts,)], "parts int").coalesce(1).write.parquet(f"{path}/meta")  # last: an index without it is not complete
         return cls.load(seq.sparkSession, path)
 

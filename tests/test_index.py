@@ -188,3 +188,16 @@ def test_ranges_that_meet_in_one_bucket_are_dealt_out(spark, monkeypatch):
 def test_select_in_sql(spark):
     Sequence(values(spark, [4, 1, 4, 4])).register("s_four")
     assert [spark.sql(f"SELECT * FROM s_four_select(4, {k})").collect() for k in range(4)] == [[(0,)], [(2,)], [(3,)], []]
+
+
+def test_counts_of_an_index_are_dealt_by_symbols(spark, tmp_path):
+    seq = spark.range(60_000).selectExpr("0L seq_id", "id pos", "pmod(xxhash64(id), 500) sym")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        index = StoredIndex.build(seq, str(tmp_path / "ix"), parts=1)
+    finally:
+        spark.conf.set(name, was)
+    held = [x["count"] for x in index.counts.groupBy(F.input_file_name()).count().collect()]
+    assert len(held) > 1 and max(held) < 0.6 * sum(held)
