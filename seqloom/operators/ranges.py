@@ -14,6 +14,8 @@ from seqloom.plans.sizes import is_small
 BUCKET = 1024
 #: Queries that are joined with one bucket in one task.
 BATCH = 4096
+#: Nodes of one level in a node of the next.
+FANOUT = 64
 
 
 def frequencies(seq: DataFrame) -> DataFrame:
@@ -54,41 +56,90 @@ def _edges(q: DataFrame, low: str, high: str, by: int):
     return q.filter("_a < _b").withColumns({"f": F.col("_a"), "t": F.col("_b")}), rest
 
 
+def _met(asked: DataFrame, held: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """Their join. Where ``asked`` is too large to be broadcast, a key with over ``BATCH`` rows of it is dealt to several tasks."""
+    if small:
+        return asked.join(held, keys)
+    pieces = F.pmod(F.xxhash64(*asked.columns), F.expr(f"(most + {BATCH - 1}) div {BATCH}"))
+    most = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("most"))
+    asked = asked.join(most, keys).withColumn("piece", pieces).drop("most")
+    held = held.join(most, keys).withColumn("piece", F.explode(F.expr(f"sequence(0L, (most - 1) div {BATCH})"))).drop("most")
+    return asked.join(held, [*keys, "piece"]).drop("piece")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """seq_id, u and the symbols of bucket u and the one behind it in the order of places; these too (``ats``) if they have gaps."""
+    both = rows.select("seq_id", F.explode(F.array("u", F.col("u") - 1)).alias("u"), "at", "sym").filter("u >= 0")
+    held = both.groupBy("seq_id", "u").agg(F.sort_array(F.collect_list(F.struct("at", "sym"))).alias("_held"))
+    held = held.select("seq_id", "u", F.col("_held.at").alias("ats"), F.col("_held.sym").alias("syms"))
+    dense = F.expr("ats[size(ats) - 1] - ats[0] + 1 = size(ats) and size(array_distinct(ats)) = size(ats)")
+    return held.select("seq_id", "u", F.expr("ats[0]").alias("first"), F.when(~dense, F.col("ats")).alias("ats"), "syms")
+
+
+#: The runs of equal symbols in the sorted ``cut``.
+_RUNS = (
+    "transform(array(sort_array(cut)), s -> transform(array(filter(sequence(1, size(s)), j -> j = size(s) or s[j] <> s[j - 1])), "
+    "e -> transform(e, (j, k) -> named_struct('sym', s[j - 1], 'cnt', cast(j - if(k = 0, 0, e[k - 1]) as bigint)))))[0][0]"
+)
+
+
+def _counted(parts: DataFrame, rows: DataFrame, bucket: int, small: bool) -> DataFrame:
+    """``parts`` (f, t and more), each within two buckets, with sym and cnt: cut out of one row of symbols and counted there."""
+    asked = parts.withColumn("u", F.expr(f"f div {bucket}"))
+    low, high = "greatest(f, first)", "least(t, first + size(syms))"
+    dense = f"slice(syms, cast(greatest(1L, {low} - first + 1) as int), cast(greatest(0L, {high} - {low}) as int))"
+    cut = F.expr(f"if(ats is null, {dense}, transform(filter(arrays_zip(ats, syms), x -> x.ats >= f and x.ats < t), x -> x.syms))")
+    found = _met(asked, _blocks(rows), ["seq_id", "u"], small).select(*parts.columns, cut.alias("cut")).filter("size(cut) > 0")
+    return found.select(*parts.columns, F.inline(F.expr(_RUNS)))
+
+
 def occs_range_batch(seq: DataFrame, queries: DataFrame, meta: DataFrame, bucket: int = BUCKET, index: StoredIndex | None = None) -> DataFrame:
     """qid, sym, cnt for symbols present in each valid range.
 
-    A range is full superbuckets, full buckets and two edges, so a query touches at most about
-    four times ``bucket`` partial rows whatever its length; every join is on sequence and bucket. Where queries are too many to be
-    broadcast, a bucket that over ``BATCH`` of them meet is dealt to several tasks. With an index its counts and its bucket size are used.
+    A range that holds no full bucket is cut out of a row that holds the symbols of two, and its counts need no further
+    shuffle. Of longer ones, each different one is counted once: its two edges in the same way, and between them at most about
+    ``2 FANOUT`` nodes of each of three levels, whose sums are shared by the ranges that they are common to. Where queries are too many
+    to be broadcast, what over ``BATCH`` of them meet is dealt to several tasks. With an index its counts and its bucket size are used.
     """
     small = is_small(queries)
     bucket = INDEX_BUCKET if index else bucket
     ok = range_status(queries, meta).filter("ok").drop("ok")
+    is_long = F.expr(f"(l + {bucket - 1}) div {bucket} < r div {bucket}")
+    told = ok.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max(is_long).alias("long")).agg(F.max("n").alias("n"), F.max("long").alias("long")).first()
     rows = seq.select("seq_id", F.expr(f"pos div {bucket}").alias("u"), F.col("pos").alias("at"), "sym")
-    counts = rows.groupBy("seq_id", F.col("u").alias("at"), "sym").agg(F.count(F.lit(1)).alias("c")).withColumn("u", F.expr(f"at div {bucket}"))
-    supers = counts.groupBy("seq_id", F.col("u").alias("at"), "sym").agg(F.sum("c").alias("c"))
+    short = ok.filter(~is_long).filter("l < r").select("qid", "seq_id", F.col("l").alias("f"), F.col("r").alias("t"))
+    out = _counted(short, rows, bucket, small).select("qid", "sym", "cnt")
+    if told["long"]:
+        out = out.unionByName(_long_ranges(ok.filter(is_long).select("qid", "seq_id", "l", "r"), rows, bucket, index, small))
+    return out if (told["n"] or 0) <= 1 else out.groupBy("qid", "sym").agg(F.sum("cnt").alias("cnt"))  # of one qid, all its ranges
+
+
+def _long_ranges(queries: DataFrame, rows: DataFrame, bucket: int, index: StoredIndex | None, small: bool) -> DataFrame:
+    """qid, sym, cnt of ranges that hold a full bucket."""
     if index:
         counts, supers = index.stored
-        counts = counts.select("seq_id", F.col("_p1").alias("at"), "sym", F.col("_w1").alias("c"), F.col("_p2").alias("u"))
-        supers = supers.select("seq_id", F.col("_p2").alias("at"), "sym", F.col("_w2").alias("c"))
-    full, raw = _edges(ok, "l", "r", bucket)
-    full = full.select("qid", "seq_id", F.col("f").alias("l"), F.col("t").alias("r"))
-    whole, some = _edges(full, "l", "r", bucket)
-
-    def edge(parts: DataFrame, data: DataFrame, weight):
-        """Parts span at most two buckets each."""
-        spread = parts.select("qid", "seq_id", "f", "t", F.explode(F.expr(f"sequence(f div {bucket}, (t - 1) div {bucket})")).alias("u"))
-        if small:  # at most so many queries meet in one bucket
-            return spread.join(data, ["seq_id", "u"]).filter("at >= f and at < t").groupBy("qid", "sym").agg(F.sum(weight).alias("cnt"))
-        pieces = F.pmod(F.xxhash64("qid"), F.expr(f"(most + {BATCH - 1}) div {BATCH}"))  # of the queries that meet in a bucket
-        met = spread.groupBy("seq_id", "u").agg(F.count(F.lit(1)).alias("most"))
-        asked = spread.join(met, ["seq_id", "u"]).withColumn("piece", pieces).drop("most")
-        held = data.join(met, ["seq_id", "u"]).withColumn("piece", F.explode(F.expr(f"sequence(0L, (most - 1) div {BATCH})"))).drop("most")
-        return asked.join(held, ["seq_id", "u", "piece"]).filter("at >= f and at < t").groupBy("qid", "sym").agg(F.sum(weight).alias("cnt"))
-
-    spread = whole.select("qid", "seq_id", F.explode(F.expr("sequence(f, t - 1)")).alias("at"))
-    parts = [spread.join(supers, ["seq_id", "at"]).groupBy("qid", "sym").agg(F.sum("c").alias("cnt")), edge(some, counts, F.col("c")), edge(raw, rows, F.lit(1).cast("bigint"))]
-    return reduce(DataFrame.unionByName, parts).groupBy("qid", "sym").agg(F.sum("cnt").alias("cnt"))
+        nodes = [counts.select("seq_id", F.col("_p1").alias("at"), "sym", F.col("_w1").alias("c"))]
+    else:
+        nodes = [rows.groupBy("seq_id", F.col("u").alias("at"), "sym").agg(F.count(F.lit(1)).alias("c"))]
+    for _ in range(2):
+        nodes.append(nodes[-1].groupBy("seq_id", F.expr(f"at div {FANOUT}").alias("at"), "sym").agg(F.sum("c").alias("c")))
+    if index and FANOUT * FANOUT == INDEX_BUCKET:
+        nodes[2] = supers.select("seq_id", F.col("_p2").alias("at"), "sym", F.col("_w2").alias("c"))
+    fields = ["seq_id", "l", "r", "f", "t"]
+    rest, raw = _edges(queries.select("seq_id", "l", "r").distinct(), "l", "r", bucket)
+    raw, parts = raw.select(*fields), []
+    for level in range(2):
+        rest, some = _edges(rest.select(*fields), "f", "t", FANOUT)
+        parts.append(some.select(*fields, F.lit(level).alias("level")))
+    parts = reduce(DataFrame.unionByName, [*parts, rest.select(*fields, F.lit(2).alias("level"))])
+    keys = ["seq_id", "level", "f", "t"]
+    spread = parts.select(*keys).distinct().withColumn("at", F.explode(F.expr("sequence(f, t - 1)")))
+    every = reduce(DataFrame.unionByName, [n.withColumn("level", F.lit(level)) for level, n in enumerate(nodes)])
+    sums = spread.join(every, ["seq_id", "level", "at"]).groupBy(*keys, "sym").agg(F.sum("c").alias("cnt"))
+    edges = _counted(raw.select("seq_id", "f", "t").distinct(), rows, bucket, small).withColumn("level", F.lit(-1))
+    each = parts.unionByName(raw.withColumn("level", F.lit(-1)))
+    whole = _met(each, sums.unionByName(edges.select(sums.columns)), keys, small).groupBy("seq_id", "l", "r", "sym").agg(F.sum("cnt").alias("cnt"))
+    return _met(queries, whole, ["seq_id", "l", "r"], small).select("qid", "sym", "cnt")
 
 
 def occs_range_naive(seq: DataFrame, queries: DataFrame, meta: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import pytest
 from helpers import answers, ask, rank_of, values
@@ -201,3 +202,31 @@ def test_counts_of_an_index_are_dealt_by_symbols(spark, tmp_path):
         spark.conf.set(name, was)
     held = [x["count"] for x in index.counts.groupBy(F.input_file_name()).count().collect()]
     assert len(held) > 1 and max(held) < 0.6 * sum(held)
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_short_and_long_ranges_on_all_levels(spark, monkeypatch, small):
+    r = random.Random(8)
+    data = [min(r.randrange(30), r.randrange(30)) for _ in range(4000)]
+    ends = [tuple(sorted((r.randrange(4001), r.randrange(4001)))) for _ in range(50)]
+    asked = [*ends, *ends[:10], *((a, min(4000, a + r.randrange(40))) for a in range(0, 4000, 97)), (0, 4000), (16, 32), (5, 5), (9, 8), (0, 4001), (-1, 3)]
+    want = sorted((i, c, n) for i, (a, z) in enumerate(asked) if 0 <= a <= z <= 4000 for c, n in Counter(data[a:z]).items())
+    for name, value in (("FANOUT", 4), ("BATCH", 7), ("is_small", lambda _: small)):
+        monkeypatch.setattr(ranges, name, value)
+    s, q = Sequence(values(spark, data)), ask(spark, "range", asked)
+    for of in (s.df, s.df.filter("pos % 5 <> 2 or pos > 3000")):  # and with gaps
+        own = {x["pos"] for x in of.collect()}
+        meta = s.meta
+        got = ranges.occs_range_batch(of, q, meta, bucket=16).collect()
+        expected = want if len(own) == 4000 else sorted((i, c, n) for i, (a, z) in enumerate(asked) if 0 <= a <= z <= 4000 for c, n in Counter(x for p, x in enumerate(data[a:z], a) if p in own).items())
+        assert sorted((x["qid"], x["sym"], x["cnt"]) for x in got) == expected
+    again = ask(spark, "range", [(3, 9), (2000, 2900)]).withColumn("qid", F.lit(5).cast("bigint"))  # all ranges of one qid
+    assert {x["sym"]: x["cnt"] for x in s.occs_range_batch(again).collect()} == Counter(data[3:9] + data[2000:2900])
+
+
+def test_counts_of_short_ranges_are_not_shuffled(spark):
+    q = ask(spark, "range", [(3, 9), (40, 900)])
+    s = Sequence(values(spark, [1, 2, 3] * 400))
+    plan = explained(s.occs_range_batch(q))
+    assert "Generate inline" in plan or "inline(" in plan
+    assert not re.search(r"hashpartitioning\(qid", plan)
