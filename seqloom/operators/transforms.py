@@ -13,6 +13,10 @@ from seqloom.plans.prefix import dense_positions, occurrence_index, prefix_count
 from seqloom.sources.scratch import scratch
 
 
+#: Positions of a sequence that one task numbers at once.
+BLOCK = 1 << 15
+
+
 def alphabet(df: DataFrame, sym: str) -> DataFrame:
     """Each distinct value and its rank among them, ``code``, from 0, by ranges of values: no window over the alphabet."""
     return dense_positions(df.select(sym).filter(F.col(sym).isNotNull()).distinct(), [sym], "code").select(sym, F.col("code").cast("bigint").alias("code"))
@@ -50,23 +54,59 @@ def partition_with_codes(seq: DataFrame, codes: DataFrame, shift: int, bits: int
     return _stable(coded, F.when(F.col("len") <= shift, F.lit(1 << bits).cast("bigint")).otherwise(own))
 
 
-def _level_places(nodes: DataFrame) -> DataFrame:
-    """seq_id, level, pos, digit of rows (seq_id, level, pos, node, digit): nodes in order, and in each as in the sequence.
+def _level_places(coded: DataFrame, bits: int) -> DataFrame:
+    """seq_id, level, pos, digit of rows (seq_id, pos, value, len): at a level nodes in order, and in each as in the sequence.
 
-    A row's place is the counts of smaller nodes, themselves counted by buckets of nodes, plus its index in its own node.
+    The digits of ``value``, of ``len`` bits, are those of its levels; a level holds the rows that reach it. A row's place is the
+    counts of smaller nodes, those of its own node in earlier blocks of positions, and its index in node and block. Only counts of
+    (block, value) are dealt by nodes; a block's rows are numbered at all levels at once, in one task's memory.
     """
-    keys = ["seq_id", "level"]
-    nodes = scratch(nodes, "nodes")
-    indexed = occurrence_index(nodes, [*keys, "node"], out="_k")
-    counts = nodes.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = prefix_count(counts.select(*keys, "node"), counts, keys, at="node", pos="node", out="_off", weight="_c")
-    return indexed.join(offsets, [*keys, "node"]).select(*keys, (F.col("_k") + F.col("_off")).alias("pos"), "digit")
+    keys, mask = ["seq_id", "level"], (1 << bits) - 1
+    coded = scratch(coded.select("seq_id", "pos", "value", F.col("len").cast("int").alias("len")).withColumn("blk", F.expr(f"pos div {BLOCK}")), "coded")
+    distinct = coded.groupBy("seq_id", "blk", "value", "len").agg(F.count(F.lit(1)).alias("_c"))
+    each = distinct.withColumn("level", F.explode(F.expr(f"sequence(0L, len div {bits} - 1)")))
+    each = each.select(*keys, "blk", _backwards("value", f"len - {bits} * level", bits).alias("node"), "_c")
+    counts = scratch(each.groupBy(*keys, "node", "blk").agg(F.sum("_c").alias("_c")), "nodes")
+    nodes = counts.groupBy(*keys, "node").agg(F.sum("_c").alias("_c"))
+    offsets = prefix_count(nodes.select(*keys, "node"), nodes, keys, at="node", pos="node", out="_off", weight="_c")
+    earlier = prefix_count(counts.drop("_c"), counts, [*keys, "node"], at="blk", pos="blk", out="_k", weight="_c")
+    starts = earlier.join(offsets, [*keys, "node"]).select(*keys, "node", "blk", (F.col("_k") + F.col("_off")).cast("bigint").alias("start"))
+
+    def placed(rows, begin):
+        import numpy as np
+        import pandas as pd
+
+        rows, begin = rows.sort_values("pos", kind="stable"), begin.sort_values(["level", "node"])
+        value, size = rows["value"].to_numpy("int64"), rows["len"].to_numpy("int64")
+        starts, levels = begin["start"].to_numpy("int64"), begin["level"].to_numpy("int64")
+        order, node, level, out = np.arange(len(value)), np.zeros(len(value), "int64"), 0, []
+        while True:  # rows stand by node, and in each node by position
+            left = size[order] >= bits * (level + 1)
+            order, node = order[left], node[left]
+            if not len(order):
+                break
+            digit = value[order] >> (size[order] - bits * (level + 1)) & mask
+            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            runs = np.diff(np.r_[first, len(node)])
+            own = starts[slice(*np.searchsorted(levels, [level, level + 1]))]
+            if len(own) != len(first):
+                raise ValueError("nodes of a block without a start")
+            out.append((np.full(len(order), level), np.repeat(own - first, runs) + np.arange(len(order)), digit))
+            by = np.argsort(digit, kind="stable")
+            node = (node + (digit << (bits * level)))[by] if bits * (level + 1) < 64 else node[by]
+            order, level = order[by], level + 1
+        level, pos, digit = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, "int64"),) * 3
+        of = (rows if len(rows) else begin)["seq_id"].iloc[0]
+        return pd.DataFrame({"seq_id": np.full(len(pos), of), "level": level, "pos": pos, "digit": digit})
+
+    by = ["seq_id", "blk"]
+    return coded.groupBy(*by).cogroup(starts.groupBy(*by)).applyInPandas(placed, "seq_id bigint, level bigint, pos bigint, digit bigint")
 
 
 def _backwards(value: str, lowest: str, bits: int) -> Column:
     """The ``level`` digits of ``value`` from bit ``lowest`` up as one number, the lowest of them its first digit."""
     mask = (1 << bits) - 1
-    return F.expr(f"aggregate(sequence(0L, 63L div {bits}), 0L, (a, j) -> case when j < level then (a << {bits}) | (shiftright({value}, cast({lowest} + {bits} * j as int)) & {mask}) else a end)")
+    return F.expr(f"aggregate(sequence(0L, level), 0L, (a, j) -> case when j < level then (a << {bits}) | (shiftright({value}, cast({lowest} + {bits} * j as int)) & {mask}) else a end)")
 
 
 def levels(seq: DataFrame, bits: int = 2) -> DataFrame:
@@ -75,17 +115,13 @@ def levels(seq: DataFrame, bits: int = 2) -> DataFrame:
     At a level, symbols stand ordered by their digits above it, the nearest first, and then as in the
     sequence. So a symbol's node is the string of those digits backwards.
     """
-    sizes = seq.groupBy("seq_id").agg(n_digits(F.max("sym"), bits).alias("n_levels"))
-    each = seq.join(sizes, "seq_id").withColumn("level", F.explode(F.expr("sequence(0L, n_levels - 1)")))
-    own = F.expr(f"shiftright(sym, cast({bits} * (n_levels - 1 - level) as int)) & {(1 << bits) - 1}")
-    return _level_places(each.select("seq_id", "level", "pos", own.alias("digit"), _backwards("sym", f"{bits} * (n_levels - level)", bits).alias("node")))
+    sizes = seq.groupBy("seq_id").agg((n_digits(F.max("sym"), bits) * bits).alias("len"))
+    return _level_places(seq.join(sizes, "seq_id").withColumnRenamed("sym", "value"), bits)
 
 
 def code_levels(seq: DataFrame, codes: DataFrame, bits: int = 2) -> DataFrame:
     """The same of the codes of symbols: a level holds those symbols whose codes reach it."""
-    coded = seq.join(codes, ["seq_id", "sym"]).withColumn("level", F.explode(F.expr(f"sequence(0L, len div {bits} - 1)")))
-    own = F.expr(f"shiftright(content, cast(len - {bits} * (level + 1) as int)) & {(1 << bits) - 1}")
-    return _level_places(coded.select("seq_id", "level", "pos", own.alias("digit"), _backwards("content", f"len - {bits} * level", bits).alias("node")))
+    return _level_places(seq.join(codes, ["seq_id", "sym"]).withColumnRenamed("content", "value"), bits)
 
 
 def huffman_lengths(weights: dict[int, int], arity: int) -> dict[int, int]:

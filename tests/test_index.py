@@ -230,3 +230,22 @@ def test_counts_of_short_ranges_are_not_shuffled(spark):
     plan = explained(s.occs_range_batch(q))
     assert "Generate inline" in plan or "inline(" in plan
     assert not re.search(r"hashpartitioning\(qid", plan)
+
+
+@pytest.mark.parametrize("bits", [1, 2])
+def test_levels_over_blocks_of_positions(spark, monkeypatch, bits):
+    monkeypatch.setattr(transforms, "BLOCK", 64)
+    r = random.Random(6)
+    data = [[min(r.randrange(40), r.randrange(40)) for _ in range(500)], [0] * 70, [(1 << 62) + 5, 1, 1 << 62]]
+    seq = values(spark, data[0]).unionByName(builders.from_values(spark, data[1], 7)).unionByName(builders.from_values(spark, data[2], 9))
+    found = transforms.levels(seq, bits)
+    assert "Generate explode" not in explained(found)  # no row a level before the numbering
+    want = set()
+    for of, own in zip((0, 7, 9), data, strict=True):
+        n = max(1, -(-max(own).bit_length() // bits))
+        now = own
+        for level in range(n):
+            digits = [x >> bits * (n - 1 - level) & ((1 << bits) - 1) for x in now]
+            want |= {(of, level, i, d) for i, d in enumerate(digits)}
+            now = [x for _, x in sorted(zip(digits, now, strict=True), key=lambda y: y[0])]
+    assert {(x["seq_id"], x["level"], x["pos"], x["digit"]) for x in found.collect()} == want and found.count() == len(want)
